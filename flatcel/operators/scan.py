@@ -2,11 +2,11 @@
 
 A window over ``partitionBy(key)`` drags a whole group through one task. The
 scans here cut every group into buckets of the sort key instead: each bucket is
-reduced to one summary row, the summaries (thousands of times fewer) carry
+reduced to one summary row, the summaries (up to 65536 times fewer) carry
 state from bucket to bucket, and the rows only ever meet the other rows of
 their own bucket. A group holding a third of the table is spread like any other.
 
-Buckets are plain expressions of the row (``frame_nr div 4096``), so that a
+Buckets are plain expressions of the row (``frame_nr div 65536``), so that a
 recomputed task after an executor loss lands on the same buckets.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 65536
 
 
 @dataclass(frozen=True)
@@ -135,12 +135,8 @@ def scan(
 
 
 def by_number(column: str, rows: int = BUCKET_ROWS) -> list[dict[str, Column]]:
-    """Two bucket levels over an integer sort column."""
-    fine, coarse = f"{column}_f", f"{column}_c"
-    return [
-        {fine: F.floor(F.col(column) / rows)},
-        {coarse: F.floor(F.col(f"__b_{fine}") / rows)},
-    ]
+    """Buckets over an integer sort column."""
+    return [{column: F.floor(F.col(column) / rows)}]
 
 
 def numbered(

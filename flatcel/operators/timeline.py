@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.operators import scan as SC
 from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.session import cut_lineage
 
 LINE, COLOR = "lineLayer1", "colorLayer1"
 LAYER = ["project_id", "layer"]
@@ -81,7 +82,8 @@ def match_references(frames: DataFrame, layer: str = COLOR) -> DataFrame:
     the start of its block, while the distance is taken before that walk; on a
     tie left wins, and the losing side is cleared when both exist.
     """
-    rows = block_start(with_drawing(frames).where(F.col("layer") == layer), "drawing")
+    # A scan reads its input twice: store what took a join and a scan to make.
+    rows = cut_lineage(block_start(with_drawing(frames).where(F.col("layer") == layer), "drawing"))
     ref = F.when(
         F.col("is_original"),
         F.struct(F.col("frame_nr"), F.coalesce("block_start", "frame_nr").alias("walked")),
@@ -298,7 +300,7 @@ def order_ops(matched: DataFrame) -> DataFrame:
     ref = F.when(F.coalesce(F.col("ref_left"), F.lit(0)) != 0, F.col("ref_left")).otherwise(F.col("ref_right"))
     dist = F.col("__ref") - F.col("frame_nr")
     rows = (
-        matched.withColumn("ref_nr", ref)
+        cut_lineage(matched).withColumn("ref_nr", ref)
         .withColumn("__ref", F.coalesce(F.col("ref_nr"), F.lit(-1)))
         .withColumn("__side", F.when(F.col("ref_nr").isNull(), 0).when(dist == 0, 0).when(dist > 0, 1).otherwise(2))
         .withColumn("__dist", F.when(F.col("ref_nr").isNull(), F.col("frame_nr")).otherwise(F.abs(dist)))
@@ -322,7 +324,7 @@ def in_between_ref(ops: DataFrame, span: int = 256) -> DataFrame:
     simply the preceding op; frames of other groups can only win in the gap up
     to that op, which is searched with a banded equi join.
     """
-    ops = ops.where("ref_nr is not null").withColumn("__side", F.signum(F.col("frame_nr") - F.col("ref_nr")).cast("int"))
+    ops = cut_lineage(ops.where("ref_nr is not null")).withColumn("__side", F.signum(F.col("frame_nr") - F.col("ref_nr")).cast("int"))
     dist = F.abs(F.col("frame_nr") - F.col("ref_nr"))
     near = SC.scan(
         ops.withColumn("__dist", dist),
@@ -371,14 +373,14 @@ def plan_colorize(matched: DataFrame, frames: DataFrame, analyze: bool = False)
     lines = frames.where(F.col("layer") == LINE).select(
         "project_id", F.col("frame_nr").alias("ref_nr"), F.lit(True).alias("__line")
     )
-    checked = ordered.join(lines, ["project_id", "ref_nr"], "left").withColumn(
-        "__bad",
-        F.when(F.col("is_original"), None)
-        .when(F.coalesce(F.col("ref_nr"), F.lit(0)) == 0, "NO_REFERENCE")
-        .when(F.col("__line").isNull(), "REF_LINE_MISSING"),
+    checked = cut_lineage(
+        ordered.join(lines, ["project_id", "ref_nr"], "left").withColumn(
+            "__bad",
+            F.when(F.col("is_original"), None)
+            .when(F.coalesce(F.col("ref_nr"), F.lit(0)) == 0, "NO_REFERENCE")
+            .when(F.col("__line").isNull(), "REF_LINE_MISSING"),
+        )
     )
-    # One project may own a third of all ops, so the verdict is joined back by
-    # (project, ord range) only where an error exists: one row per bad project.
     errors = (
         checked.where("__bad is not null")
         .groupBy("project_id")
@@ -408,7 +410,9 @@ def dedupe_ops(ops: DataFrame, frames: DataFrame) -> DataFrame:
     first op of the drawing runs and the others copy its result.
     """
     lines = frames.where(F.col("layer") == LINE).select("project_id", "frame_nr", F.col("image_id").alias("line_id"))
-    rows = ops.join(lines, ["project_id", "frame_nr"]).where("line_id is not null and not is_original")
+    rows = cut_lineage(
+        ops.join(lines, ["project_id", "frame_nr"]).where("line_id is not null and not is_original")
+    )
     firsts = rows.groupBy("project_id", "line_id").agg(
         F.count(F.lit(1)).alias("__n"), F.min_by("frame_nr", "ord").alias("run_frame")
     )
