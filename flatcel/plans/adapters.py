@@ -6,7 +6,7 @@ twice: as a DataFrame here and as SQL for the oracle.
 * ``frames``: 1000 consecutive events make one project's timeline, the limit a
   timeline has; the event type is the drawing, so holds arise by chance.
 * ``lpix``: one line item is one colored pixel of a segment.
-* ``grid``: one order is one pixel of a 64 x 64 image (square, circle or
+* ``grid``: one order is one pixel of a 50 x 30 image (square, circle or
   triangle outline with specks).
 * ``feats``: 50 consecutive embeddings make a reference and a target frame.
 * ``seqs``: conversations as frame sequences; ``swatches``: parts as palette
@@ -88,17 +88,17 @@ VIEW_SQL: dict[str, str] = {
              CASE WHEN is_line THEN 0 ELSE CAST(image_id % 3 AS INTEGER) * 60 END AS b
       FROM (
         SELECT *, o_totalprice > 485000 OR CASE image_id % 3
-            WHEN 0 THEN (x IN (8, 54) AND y BETWEEN 8 AND 54) OR (y IN (8, 54) AND x BETWEEN 8 AND 54)
-            WHEN 1 THEN (x - 32) * (x - 32) + (y - 32) * (y - 32) BETWEEN 400 AND 484
-            ELSE (y = 56 AND x BETWEEN 8 AND 56) OR (y BETWEEN 8 AND 56 AND abs(2 * (x - 32)) - (y - 8) BETWEEN -2 AND 0)
+            WHEN 0 THEN (x IN (6, 43) AND y BETWEEN 5 AND 24) OR (y IN (5, 24) AND x BETWEEN 6 AND 43)
+            WHEN 1 THEN (x - 25) * (x - 25) + (y - 15) * (y - 15) BETWEEN 81 AND 121
+            ELSE (y = 25 AND x BETWEEN 7 AND 43) OR (y BETWEEN 4 AND 25 AND abs(21 * (x - 25)) - 18 * (y - 4) BETWEEN -36 AND 0)
           END AS is_line,
           CASE image_id % 3
-            WHEN 0 THEN x BETWEEN 9 AND 53 AND y BETWEEN 9 AND 53
-            WHEN 1 THEN (x - 32) * (x - 32) + (y - 32) * (y - 32) < 400
-            ELSE y BETWEEN 8 AND 55 AND abs(2 * (x - 32)) - (y - 8) < -2
+            WHEN 0 THEN x BETWEEN 7 AND 42 AND y BETWEEN 6 AND 23
+            WHEN 1 THEN (x - 25) * (x - 25) + (y - 15) * (y - 15) < 81
+            ELSE y BETWEEN 5 AND 24 AND abs(21 * (x - 25)) - 18 * (y - 4) < -36
           END AS inside
-        FROM (SELECT o_orderkey // 4096 AS image_id, CAST((o_orderkey // 64) % 64 AS INTEGER) AS y,
-                     CAST(o_orderkey % 64 AS INTEGER) AS x, * FROM orders))""",
+        FROM (SELECT o_orderkey // 1500 AS image_id, CAST((o_orderkey // 50) % 30 AS INTEGER) AS y,
+                     CAST(o_orderkey % 50 AS INTEGER) AS x, * FROM orders))""",
     "mask": """SELECT image_id, y, x, CASE WHEN is_line THEN 0 ELSE 1 END AS v FROM grid""",
     "feats": """
       SELECT vec_id // 50 AS pair_id, CASE WHEN vec_id % 2 = 0 THEN 'ref' ELSE 'tgt' END AS side,
@@ -144,7 +144,7 @@ VIEW_SQL: dict[str, str] = {
              md5(text) AS hash, lang, source, n_chars FROM documents""",
     "seqs": """
       SELECT conv_id AS project_id, CAST(turn AS INTEGER) AS frame_idx,
-             CAST(length(text) % 64 + 1 AS INTEGER) AS length, md5(role || CAST(length(text) // 100 AS VARCHAR)) AS hash
+             CAST(length(text) % 64 + 1 AS INTEGER) AS length, md5(CAST(length(text) // 300 AS VARCHAR)) AS hash
       FROM conversations""",
     "files": """
       SELECT o_orderkey AS seq, o_custkey AS scene,
@@ -218,20 +218,20 @@ class Views:
     def grid(self) -> DataFrame:
         o = self.table("orders").withColumns(
             {
-                "image_id": F.expr("o_orderkey div 4096"),
-                "y": F.expr("cast((o_orderkey div 64) % 64 as int)"),
-                "x": F.expr("cast(o_orderkey % 64 as int)"),
+                "image_id": F.expr("o_orderkey div 1500"),
+                "y": F.expr("cast((o_orderkey div 50) % 30 as int)"),
+                "x": F.expr("cast(o_orderkey % 50 as int)"),
             }
         )
         line = """o_totalprice > 485000 or case image_id % 3
-            when 0 then (x in (8, 54) and y between 8 and 54) or (y in (8, 54) and x between 8 and 54)
-            when 1 then (x - 32) * (x - 32) + (y - 32) * (y - 32) between 400 and 484
-            else (y = 56 and x between 8 and 56)
-              or (y between 8 and 56 and abs(2 * (x - 32)) - (y - 8) between -2 and 0) end"""
+            when 0 then (x in (6, 43) and y between 5 and 24) or (y in (5, 24) and x between 6 and 43)
+            when 1 then (x - 25) * (x - 25) + (y - 15) * (y - 15) between 81 and 121
+            else (y = 25 and x between 7 and 43)
+              or (y between 4 and 25 and abs(21 * (x - 25)) - 18 * (y - 4) between -36 and 0) end"""
         inside = """case image_id % 3
-            when 0 then x between 9 and 53 and y between 9 and 53
-            when 1 then (x - 32) * (x - 32) + (y - 32) * (y - 32) < 400
-            else y between 8 and 55 and abs(2 * (x - 32)) - (y - 8) < -2 end"""
+            when 0 then x between 7 and 42 and y between 6 and 23
+            when 1 then (x - 25) * (x - 25) + (y - 15) * (y - 15) < 81
+            else y between 5 and 24 and abs(21 * (x - 25)) - 18 * (y - 4) < -36 end"""
         o = o.withColumn("is_line", F.expr(line)).withColumn("inside", F.expr(inside))
         return o.selectExpr(
             "image_id",
@@ -308,7 +308,7 @@ class Views:
             F.col("conv_id").alias("project_id"),
             F.col("turn").cast("int").alias("frame_idx"),
             (F.length("text") % 64 + 1).alias("length"),
-            F.md5(F.concat("role", F.expr("cast(length(text) div 100 as string)"))).alias("hash"),
+            F.md5(F.expr("cast(length(text) div 300 as string)")).alias("hash"),
         )
 
     @cached_property

@@ -231,7 +231,7 @@ def pack_pair(v):
 
 
 VIEW_SQL["corpusv"] = r"""
-  WITH n AS (SELECT scene AS corpus, name, regexp_extract(name, '^(lineLayer|colorLayer)[0-9]*_f([0-9]+)_.*\.png$', 1) AS l,
+  WITH n AS (SELECT scene // 50 AS corpus, name, regexp_extract(name, '^(lineLayer|colorLayer)[0-9]*_f([0-9]+)_.*\.png$', 1) AS l,
                     TRY_CAST(nullif(regexp_extract(name, '^(lineLayer|colorLayer)[0-9]*_f([0-9]+)_.*\.png$', 2), '') AS INTEGER) AS frame_nr FROM files)
   SELECT corpus, frame_nr, max(name) FILTER (l = 'lineLayer') AS line_name, max(name) FILTER (l = 'colorLayer') AS color_name,
          min(frame_nr) FILTER (max(name) FILTER (l = 'colorLayer') IS NOT NULL) OVER (PARTITION BY corpus) AS ref_nr
@@ -239,7 +239,7 @@ VIEW_SQL["corpusv"] = r"""
 
 
 def _corpus(v):
-    return v.files.select(F.col("scene").alias("corpus"), "name")
+    return v.files.select(F.expr("scene div 50").alias("corpus"), "name")
 
 
 @query(
