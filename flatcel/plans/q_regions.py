@@ -28,12 +28,18 @@ def lab(v):
 def _cc(source: str, rest: str) -> str:
     """Regions of ``source`` (image_id, y, x, v) by repeated minimum, then ``rest``."""
     return f"""WITH RECURSIVE src AS ({source}),
-      cc(image_id, y, x, v, r) USING KEY (image_id, y, x) AS (
-        SELECT image_id, y, x, v, y * 50 + x FROM src
+      pr AS (SELECT *, max(s0) OVER (PARTITION BY image_id, y ORDER BY x) AS x0 FROM (
+               SELECT *, CASE WHEN lag(v) OVER (PARTITION BY image_id, y ORDER BY x) IS DISTINCT FROM v THEN x END AS s0 FROM src)),
+      runs AS (SELECT image_id, y, x0, v, max(x) AS x1, y * 50 + x0 AS id FROM pr GROUP BY ALL),
+      e AS (SELECT a.image_id, a.id AS a, b.id AS b FROM runs a JOIN runs b ON a.image_id = b.image_id AND b.y = a.y + 1 AND a.v = b.v
+              AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+      s AS (SELECT * FROM e UNION ALL SELECT image_id, b, a FROM e),
+      cc(image_id, id, r) USING KEY (image_id, id) AS (
+        SELECT image_id, id, id FROM runs
         UNION
-        SELECT p.image_id, p.y, p.x, p.v, min(q.r) FROM cc q, around a
-        JOIN recurring.cc p ON p.image_id = q.image_id AND p.y = q.y + a.dy AND p.x = q.x + a.dx AND p.v = q.v
-        WHERE q.r < p.r GROUP BY p.image_id, p.y, p.x, p.v)
+        SELECT p.image_id, p.id, min(q.r) FROM cc q JOIN s ON s.image_id = q.image_id AND s.a = q.id
+        JOIN recurring.cc p ON p.image_id = s.image_id AND p.id = s.b WHERE q.r < p.r GROUP BY p.image_id, p.id),
+      ccp AS (SELECT pr.image_id, pr.y, pr.x, pr.v, cc.r FROM pr JOIN cc ON cc.image_id = pr.image_id AND cc.id = pr.y * 50 + pr.x0)
       {rest}"""
 
 
@@ -56,7 +62,7 @@ def components(v):
 
 @query(
     "label_regions",
-    _cc("SELECT * FROM mask", "SELECT image_id, y, x, v, r // 50 AS region_y, r % 50 AS region_x FROM cc"),
+    _cc("SELECT * FROM mask", "SELECT image_id, y, x, v, r // 50 AS region_y, r % 50 AS region_x FROM ccp"),
 )
 def label_regions(v):
     return R.label_regions(v.mask, tile=T)
@@ -64,7 +70,7 @@ def label_regions(v):
 
 @query(
     "number_regions",
-    _cc("SELECT * FROM mask", "SELECT image_id, y, x, v, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS label FROM cc"),
+    _cc("SELECT * FROM mask", "SELECT image_id, y, x, v, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS label FROM ccp"),
 )
 def number_regions(v):
     return R.number_regions(R.label_regions(v.mask, tile=T))
@@ -72,8 +78,8 @@ def number_regions(v):
 
 @query(
     "fill_from",
-    _cc("SELECT * FROM mask", """SELECT image_id, y, x, v, r // 50 AS region_y, r % 50 AS region_x FROM cc
-        WHERE (image_id, r) IN (SELECT image_id, r FROM cc WHERE y = 15 AND x IN (4, 25))"""),
+    _cc("SELECT * FROM mask", """SELECT image_id, y, x, v, r // 50 AS region_y, r % 50 AS region_x FROM ccp
+        WHERE (image_id, r) IN (SELECT image_id, r FROM ccp WHERE y = 15 AND x IN (4, 25))"""),
 )
 def fill_from(v):
     seeds = v.grid.where("y = 15 and x in (4, 25)").select("image_id", "y", "x")
@@ -221,7 +227,7 @@ def border_pairs(v):
     )
 
 
-NUMBERED = "SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS label FROM cc"
+NUMBERED = "SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY r) - 1 AS INTEGER) AS label FROM ccp"
 
 
 @query("stitch", _cc("SELECT * FROM mask", NUMBERED))
