@@ -450,18 +450,60 @@ def resegment(
 # --- boxes and differences ------------------------------------------------------
 
 
-def merge_boxes(boxes: DataFrame) -> DataFrame:
+SMALL_BOX_SET = 4096
+BOX = ["y1", "x1", "y2", "x2"]
+
+
+def _merge_few(boxes: np.ndarray) -> np.ndarray:
+    """Closure of overlapping boxes (rows y1, x1, y2, x2) of one image."""
+    left, done = list(map(tuple, boxes.tolist())), []
+    while left:
+        box = left.pop()
+        rest = np.array(left + done, dtype=boxes.dtype).reshape(-1, 4)
+        hit = (rest[:, 0] <= box[2]) & (rest[:, 2] >= box[0]) & (rest[:, 1] <= box[3]) & (rest[:, 3] >= box[1])
+        if not hit.any():
+            done.append(box)
+            continue
+        touched = np.vstack([rest[hit], np.array([box])])
+        union = (*touched[:, :2].min(axis=0).tolist(), *touched[:, 2:].max(axis=0).tolist())
+        gone = set(map(tuple, rest[hit].tolist()))
+        left = [b for b in left if b not in gone] + [union]
+        done = [b for b in done if b not in gone]
+    return np.array(done, dtype=boxes.dtype).reshape(-1, 4)
+
+
+def merge_boxes(boxes: DataFrame, small_set: int = SMALL_BOX_SET) -> DataFrame:
     """Boxes (image_id, y1, x1, y2, x2) merged while they overlap or touch.
 
-    Two boxes overlap iff one covers part of the top row of the other, so on
-    each row that is some box's top, boxes sorted by x are linked to the one
-    reaching farthest so far: a linear number of links, no pairs.
+    Images with up to ``small_set`` boxes are merged in one task each; larger
+    ones by links and connected components (``_merge_many``), with equal result.
     """
-    current = cut_lineage(boxes.select("image_id", "y1", "x1", "y2", "x2").distinct())
+    distinct = boxes.select("image_id", *BOX).distinct()
+    counts = distinct.groupBy("image_id").agg(F.count(F.lit(1)).alias("__n"))
+    large = cut_lineage(counts.where(F.col("__n") > small_set).select("image_id"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in distinct.schema)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(_merge_few(pdf[BOX].to_numpy()), columns=BOX)
+        out.insert(0, "image_id", pdf["image_id"].iloc[0])
+        return out
+
+    if large.isEmpty():
+        return distinct.groupBy("image_id").applyInPandas(merge, schema)
+    small = distinct.join(large, "image_id", "left_anti").groupBy("image_id").applyInPandas(merge, schema)
+    return small.unionByName(_merge_many(distinct.join(large, "image_id", "left_semi")))
+
+
+def _merge_many(boxes: DataFrame) -> DataFrame:
+    """Two boxes overlap iff one covers part of the top row of the other, so on
+    each row that is some box's top, boxes sorted by x are linked to the one
+    reaching farthest so far: a linear number of links, no pairs. Components of
+    the links are replaced by their hulls until no hull overlaps another."""
+    current = cut_lineage(boxes)
     while True:
         tops = current.select("image_id", F.col("y1").alias("row")).distinct()
-        lines = current.withColumn("box", F.struct("image_id", "y1", "x1", "y2", "x2")).select(
-            "image_id", "x1", "x2", "y1", "y2", "box", F.explode(F.sequence("y1", "y2")).alias("row")
+        lines = current.withColumn("box", F.struct("image_id", *BOX)).select(
+            "image_id", *BOX, "box", F.explode(F.sequence("y1", "y2")).alias("row")
         ).join(tops, ["image_id", "row"], "left_semi")
         chained = SC.scan(
             lines, ["image_id", "row"], ["x1", "x2", "y1", "y2"], SC.by_number("x1"),
@@ -473,11 +515,12 @@ def merge_boxes(boxes: DataFrame) -> DataFrame:
         if links.isEmpty():
             return current
         named = components(links)
-        flat = current.withColumn("node", F.struct("image_id", "y1", "x1", "y2", "x2")).join(named, "node", "left")
+        flat = current.withColumn("node", F.struct("image_id", *BOX)).join(named, "node", "left")
         current = cut_lineage(
             flat.groupBy("image_id", F.coalesce("component", "node").alias("c"))
             .agg(F.min("y1").alias("y1"), F.min("x1").alias("x1"), F.max("y2").alias("y2"), F.max("x2").alias("x2"))
             .drop("c")
+            .distinct()
         )
 
 
