@@ -586,7 +586,7 @@ def dedupe_points(
 
 def _dedupe_rounds(points: DataFrame, distance: int, order: tuple[str, ...]) -> DataFrame:
     cell = max(distance, 1)
-    rows = cut_lineage(points.withColumn("__o", F.struct(*order, "y", "x")))
+    rows = cut_lineage(points.withColumn("__o", F.struct(*dict.fromkeys((*order, "y", "x")))))
     here = rows.select("image_id", "y", "x", "__o", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"))
     around = here.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)]))).withColumn(
         "cx", F.explode(F.array(*[F.col("cx") + d for d in (-1, 0, 1)]))
