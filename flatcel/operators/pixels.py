@@ -272,6 +272,9 @@ def _envelope(g: np.ndarray) -> np.ndarray:
     return (np.arange(n) - owner) ** 2 + g[owner]
 
 
+ROWS_PER_STRIP = 32
+
+
 def distance_transform(mask: DataFrame, value: str = "v") -> DataFrame:
     """Distance of every pixel to the nearest pixel whose ``value`` is 0.
 
@@ -288,12 +291,16 @@ def distance_transform(mask: DataFrame, value: str = "v") -> DataFrame:
     image_type = mask.schema["image_id"].dataType.simpleString()
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("x")
-        squared = _envelope(np.where(pdf["g"].isna(), np.inf, pdf["g"] ** 2))
+        pdf = pdf.sort_values(["y", "x"])
+        squared = np.where(pdf["g"].isna(), np.inf, pdf["g"] ** 2)
+        starts = np.nonzero(np.diff(pdf["y"].to_numpy(), prepend=-1))[0]
+        squared = np.concatenate([_envelope(row) for row in np.split(squared, starts[1:])])
         dist = np.where(np.isfinite(squared), np.sqrt(squared), np.nan)
         return pd.DataFrame({"image_id": pdf["image_id"], "y": pdf["y"], "x": pdf["x"], "dist": dist})
 
-    folded = g.groupBy("image_id", "y").applyInPandas(fold, f"image_id {image_type}, y int, x int, dist double")
+    # A few rows per call: single rows would drown in the overhead of the calls.
+    strips = g.groupBy("image_id", F.floor(F.col("y") / ROWS_PER_STRIP))
+    folded = strips.applyInPandas(fold, f"image_id {image_type}, y int, x int, dist double")
     return folded.withColumn("dist", F.nanvl("dist", F.lit(None).cast("double")))
 
 

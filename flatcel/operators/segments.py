@@ -14,6 +14,7 @@ from flatcel.functions.color import (
 from flatcel.operators.scan import by_number, numbered
 
 PEAKINESS_THRESHOLD = 0.49
+RGB = 2**24  # number of colors without alpha
 
 
 def peakiness(counts: Column) -> Column:
@@ -50,9 +51,11 @@ def segment_colors(
         F.sum("n_not_black").alias("not_black"),
         F.count(votes).alias("colors"),
         peakiness(votes).alias("peak"),
-        F.max(F.when(votes.isNotNull(), F.struct(votes.alias("n"), (-color_rank).alias("k")))).alias("top"),
+        # Count and color in one number (counts stay below 2^39), because a
+        # maximum of numbers can be hash-aggregated and one of structs cannot.
+        F.max(votes * RGB + (RGB - 1 - color_rank)).alias("top"),
     )
-    rank = -F.col("top.k")
+    rank = RGB - 1 - F.col("top").bitwiseAND(F.lit(RGB - 1))
     dominant = rgba_to_dense(
         F.shiftright(rank, 16),
         F.shiftright(rank, 8).bitwiseAND(F.lit(255)),
