@@ -270,11 +270,11 @@ def _lab_sql() -> str:
       xyz AS (SELECT *, (lr * 0.412453::DOUBLE + lg * 0.357580::DOUBLE + lb * 0.180423::DOUBLE) / 0.95047::DOUBLE AS tx,
                      lr * 0.212671::DOUBLE + lg * 0.715160::DOUBLE + lb * 0.072169::DOUBLE AS ty,
                      (lr * 0.019334::DOUBLE + lg * 0.119193::DOUBLE + lb * 0.950227::DOUBLE) / 1.08883::DOUBLE AS tz FROM lin),
-      lab AS (SELECT image_id, y, x, a, is_line, {f.format(t='tx')} AS fx, {f.format(t='ty')} AS fy, {f.format(t='tz')} AS fz FROM xyz)
+      converted AS (SELECT image_id, y, x, a, is_line, {f.format(t='tx')} AS fx, {f.format(t='ty')} AS fy, {f.format(t='tz')} AS fz FROM xyz)
       SELECT image_id, y, x, CASE WHEN is_line THEN 101 ELSE CAST(trunc(fy * 116.0 - 16.0) AS INTEGER) END AS l,
              CASE WHEN is_line THEN 256 ELSE CAST(trunc((fx - fy) * 500.0 + 128.0) AS INTEGER) END AS a,
              CASE WHEN is_line THEN 256 ELSE CAST(trunc((fy - fz) * 200.0 + 128.0) AS INTEGER) END AS b,
-             CASE WHEN is_line THEN 256 ELSE a END AS alpha FROM lab"""
+             CASE WHEN is_line THEN 256 ELSE a END AS alpha FROM converted"""
 
 
 @query("rgba_to_lab", _lab_sql())

@@ -168,7 +168,8 @@ def pack_large(v):
     return Q.pack(_items(v), 96, small_group=4)
 
 
-VALUES = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: k * 7 + F.col("frame_idx"))
+def _values():
+    return F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: k * 7 + F.col("frame_idx"))
 
 
 @query(
@@ -177,7 +178,7 @@ VALUES = F.transform(F.sequence(F.lit(0), F.col("length") - 1), lambda k: k * 7
        FROM packed p, range(0, 64) t(k) WHERE k < p."end" - p."start\"""",
 )
 def pack_values(v):
-    values = v.seqs.select(F.col("project_id").alias("image_id"), F.col("frame_idx").alias("item"), VALUES.alias("values"))
+    values = v.seqs.select(F.col("project_id").alias("image_id"), F.col("frame_idx").alias("item"), _values().alias("values"))
     return Q.pack_values(values, Q.pack(_items(v), 96))
 
 
@@ -187,7 +188,7 @@ def pack_values(v):
        FROM seqs, range(0, 64) t(k) WHERE k < length""",
 )
 def unpack_values(v):
-    values = v.seqs.select(F.col("project_id").alias("image_id"), F.col("frame_idx").alias("item"), VALUES.alias("values"))
+    values = v.seqs.select(F.col("project_id").alias("image_id"), F.col("frame_idx").alias("item"), _values().alias("values"))
     packed = Q.pack(_items(v), 96)
     return Q.unpack_values(Q.pack_values(values, packed), packed)
 
@@ -208,7 +209,7 @@ def block_mask(v):
        FROM (SELECT *, max(length) OVER (PARTITION BY project_id) AS m FROM seqs)""",
 )
 def collate(v):
-    return Q.collate(v.seqs.select("project_id", "frame_idx", VALUES.alias("ids")), ["ids"], "project_id")
+    return Q.collate(v.seqs.select("project_id", "frame_idx", _values().alias("ids")), ["ids"], "project_id")
 
 
 @query(
@@ -217,7 +218,7 @@ def collate(v):
               list_transform(range(0, 64 - length), lambda k: -100)) AS ids FROM seqs""",
 )
 def pad_to_bucket(v):
-    return Q.pad_to_bucket(v.seqs.select("project_id", "frame_idx", VALUES.alias("ids")), "ids", 64)
+    return Q.pad_to_bucket(v.seqs.select("project_id", "frame_idx", _values().alias("ids")), "ids", 64)
 
 
 @query(
