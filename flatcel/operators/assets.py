@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flatcel.functions.names import extension, frame_verdict, timeline_frame_nr, IMAGE_EXTENSIONS
-from flatcel.operators.skew import with_group_facts
+from flatcel.operators.skew import join_unique, with_group_facts
 
 
 def store_images(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -131,14 +131,17 @@ def import_frames(files: DataFrame, canvas: DataFrame) -> DataFrame:
     kept iff it precedes the first bad one of its project.
     """
     nr = timeline_frame_nr(F.col("name"))
-    first = files.groupBy("project_id").agg(F.min_by(F.struct("w", "h"), "seq").alias("__first"))
+    first = files.groupBy("project_id").agg(
+        F.min_by(F.struct("w", "h"), "seq").alias("__first"), F.count(F.lit(1)).alias("__n")
+    )
     sizes = first.join(canvas, "project_id", "left").select(
         "project_id",
+        "__n",
         F.coalesce("canvas_w", F.col("__first.w")).alias("__w"),
         F.coalesce("canvas_h", F.col("__first.h")).alias("__h"),
     )
     judged = (
-        files.join(sizes, "project_id")
+        join_unique(files, sizes, ["project_id"], "__n").drop("__n")
         .withColumn("frame_nr", nr)
         .withColumn(
             "verdict",
@@ -147,9 +150,9 @@ def import_frames(files: DataFrame, canvas: DataFrame) -> DataFrame:
             .otherwise(frame_verdict(F.col("frame_nr"))),
         )
     )
-    stops = judged.where("verdict <> 'OK'").groupBy("project_id").agg(F.min("seq").alias("__stop"))
+    stop = F.min(F.when(F.col("verdict") != "OK", F.col("seq")))
     return (
-        judged.join(stops, "project_id", "left")
+        with_group_facts(judged, ["project_id"], {"__stop": stop})
         .where("__stop is null or seq <= __stop")
         .select("project_id", "seq", "name", "frame_nr", "verdict")
     )

@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flatcel.operators import scan as SC
+from flatcel.operators.skew import join_unique, with_group_facts
 from flatcel.operators.tiles import TILE, shifted, stencil
+from flatcel.session import cut_lineage
 
 
 def alpha_stats(pixels: DataFrame) -> DataFrame:
@@ -51,7 +53,9 @@ def otsu(pixels: DataFrame) -> DataFrame:
 
 
 def binarize_otsu(pixels: DataFrame) -> DataFrame:
-    return pixels.join(otsu(pixels), "image_id").select(
+    sizes = pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("__n"))
+    limits = otsu(pixels).join(sizes, "image_id")
+    return join_unique(pixels, limits, ["image_id"], "__n").select(
         "image_id", "y", "x", F.when(255 - F.col("a") > F.col("threshold"), 255).otherwise(0).alias("v")
     )
 
@@ -169,11 +173,13 @@ def content_bbox(pixels: DataFrame, padding: int = 10) -> DataFrame:
 
 def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """Pixels inside the box of their image, moved to its corner."""
+    area = (F.col("h") * F.col("w")).alias("__n")
+    limits = boxes.select("image_id", "top", "bottom", "left", "right", area)
     return (
-        pixels.join(boxes.select("image_id", "top", "bottom", "left", "right"), "image_id")
+        join_unique(pixels, limits, ["image_id"], "__n")
         .where("y >= top and y < bottom and x >= left and x < right")
         .withColumns({"y": F.col("y") - F.col("top"), "x": F.col("x") - F.col("left")})
-        .drop("top", "bottom", "left", "right")
+        .drop("top", "bottom", "left", "right", "__n")
     )
 
 
@@ -310,11 +316,12 @@ def signed_distance(mask: DataFrame, value: str = "v") -> DataFrame:
     to_zero = distance_transform(mask, value).withColumnRenamed("dist", "__in")
     flipped = mask.withColumn("__inv", 1 - F.col(value))
     to_one = distance_transform(flipped, "__inv").withColumnRenamed("dist", "__out")
-    both = to_zero.join(to_one, ["image_id", "y", "x"]).select(
-        "image_id", "y", "x", (F.col("__in") - F.col("__out")).alias("sdf")
+    both = cut_lineage(
+        to_zero.join(to_one, ["image_id", "y", "x"]).select(
+            "image_id", "y", "x", (F.col("__in") - F.col("__out")).alias("sdf")
+        )
     )
-    span = both.groupBy("image_id").agg(F.min("sdf").alias("__lo"), F.max("sdf").alias("__hi"))
-    return both.join(span, "image_id").select(
+    return with_group_facts(both, ["image_id"], {"__lo": F.min("sdf"), "__hi": F.max("sdf")}).select(
         "image_id", "y", "x",
         F.when(F.col("__hi") > F.col("__lo"), (F.col("sdf") - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))).alias("sdf"),
     )
@@ -452,10 +459,9 @@ def neighbor_count(mask: DataFrame, tile: int = TILE) -> DataFrame:
 def keypoints(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """End, junction and corner points. The opened junctions are used where
     they keep more than 30% of the junction pixels of an image."""
-    points = skeleton_points(mask, tile)
-    share = points.groupBy("image_id").agg(
-        (F.count_if("is_opened") > F.count_if("is_junction") * 0.3).alias("__clean")
-    )
+    seen = F.col("is_end") | F.col("is_junction") | F.col("is_opened") | F.col("is_corner")
+    points = cut_lineage(skeleton_points(mask, tile).where(seen))
+    clean = F.count_if("is_opened") > F.count_if("is_junction") * 0.3
     kinds = F.array_compact(
         F.array(
             F.when(F.col("is_end"), F.lit("endpoint")),
@@ -463,10 +469,8 @@ def keypoints(mask: DataFrame, tile: int = TILE) -> DataFrame:
             F.when(F.col("is_corner"), F.lit("corner")),
         )
     )
-    seen = F.col("is_end") | F.col("is_junction") | F.col("is_opened") | F.col("is_corner")
-    return (
-        points.where(seen).join(share, "image_id")
-        .select("image_id", "y", "x", F.explode(kinds).alias("kind"))
+    return with_group_facts(points, ["image_id"], {"__clean": clean}).select(
+        "image_id", "y", "x", F.explode(kinds).alias("kind")
     )
 
 

@@ -16,7 +16,7 @@ from flatcel.operators import scan as SC
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components
 from flatcel.operators.pixels import CROSS, ball, dilate, erode, extreme
-from flatcel.operators.skew import join_unique
+from flatcel.operators.skew import join_unique, with_group_facts
 from flatcel.session import cut_lineage
 
 PIXEL = ["image_id", "y", "x"]
@@ -153,8 +153,7 @@ def filter_regions(props: DataFrame, method: str | None = "mean") -> DataFrame:
         return props
     area = F.col("area")
     limit = {"max": F.max(area), "mean": F.avg(area), "median": F.percentile(area, 0.5)}[method]
-    limits = props.groupBy("image_id").agg(limit.alias("__limit"))
-    return props.join(limits, "image_id").where(area >= F.col("__limit")).drop("__limit")
+    return with_group_facts(props, ["image_id"], {"__limit": limit}).where(area >= F.col("__limit")).drop("__limit")
 
 
 def region_adjacency(labels: DataFrame, tile: int = TI.TILE) -> DataFrame:

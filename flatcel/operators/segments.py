@@ -12,6 +12,7 @@ from flatcel.functions.color import (
     rgba_to_dense,
 )
 from flatcel.operators.scan import by_number, numbered
+from flatcel.operators.skew import join_unique
 
 PEAKINESS_THRESHOLD = 0.49
 RGB = 2**24  # number of colors without alpha
@@ -177,13 +178,12 @@ def render_segments(
     null_rgba: tuple[int, int, int, int] = (0, 0, 0, 0),
     keys: tuple[str, ...] = ("image_id", "seg_id"),
 ) -> DataFrame:
-    """Paint each pixel with its segment's color.
-
-    The lookup stays an ordinary equi join: the planner broadcasts the segment
-    table when its measured size allows it and splits skewed partitions (a giant
-    background segment) otherwise.
-    """
-    painted = seg_pixels.join(segments.select(*keys, "color"), list(keys), "left")
+    """Paint each pixel with its segment's color. The pixel counts kept with the
+    segments tell the giant ones (a background), which are looked up by
+    broadcast; all others take an equi join."""
+    painted = join_unique(
+        seg_pixels, segments.select(*keys, "color", "num_pixels"), list(keys), "num_pixels", how="left"
+    )
     rgba = dense_to_rgba(F.col("color"))
     unknown = F.coalesce(F.col("color") == NULL_COLOR, F.lit(True))
     return painted.select(

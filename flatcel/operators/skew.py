@@ -17,7 +17,7 @@ def with_group_facts(
 ) -> DataFrame:
     """``df`` plus aggregates of its own groups (``facts``), keys may be null.
 
-    A groups of more than ``hot_rows`` rows would pile up in one join task, so
+    A group of more than ``hot_rows`` rows would pile up in one join task, so
     those few are served by broadcast: there are at most ``rows / hot_rows`` of
     them, a bound that follows from the counts themselves. All others take the
     ordinary shuffle join.
@@ -34,8 +34,10 @@ def join_unique(
     keys: Sequence[str],
     count: str,
     hot_rows: int = HOT_ROWS,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join with a table of one row per key, splitting off its hot keys."""
+    """Inner or left join with a table of one row per key, splitting off its hot
+    keys. ``count`` names the column with the number of rows per key."""
     right = stats
     for k in keys:
         right = right.withColumnRenamed(k, f"__k_{k}")
@@ -49,7 +51,7 @@ def join_unique(
     rows_hot = df.join(hot, condition, "inner").drop(*drop)
     rows_cold = (
         df.join(hot.select(*drop), condition, "left_anti")
-        .join(cold, condition, "inner")
+        .join(cold, condition, how)
         .drop(*drop)
     )
     return rows_cold.unionByName(rows_hot)

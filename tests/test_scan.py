@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flatcel.operators import scan as SC
 from flatcel.operators.graph import components
-from flatcel.operators.skew import with_group_facts
+from flatcel.operators.skew import join_unique, with_group_facts
 
 
 def test_scan_carries_over_buckets(spark):
@@ -68,3 +68,11 @@ def test_components_equal_union_find(spark):
     want = {n: find(n) for n in list(parent)}
     df = spark.createDataFrame(edges, "src long, dst long")
     assert {r.node: r.component for r in components(df, hot_rows=5).collect()} == want
+
+
+def test_left_join_keeps_unmatched_rows_and_hot_keys(spark):
+    left = spark.createDataFrame([("hot", i) for i in range(30)] + [("cold", 1), ("none", 2), (None, 3)], "k string, i int")
+    stats = spark.createDataFrame([("hot", 30, "H"), ("cold", 1, "C")], "k string, n int, v string")
+    out = join_unique(left, stats, ["k"], "n", hot_rows=10, how="left").collect()
+    assert len(out) == 33
+    assert {(r.k, r.v) for r in out} == {("hot", "H"), ("cold", "C"), ("none", None), (None, None)}
