@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from flatcel.plans.adapters import Views, VIEW_SQL
+from flatcel.session import ship_package
 
 Query = Callable[[Views], DataFrame]
 
@@ -69,7 +70,11 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     load()
 
     def bind(fn: Query) -> Callable[[SparkSession, str], DataFrame]:
-        return lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(Views(spark, sf_dir))
+
+        return run
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,21 @@ def local_session(app: str = "flatcel", cores: str | int | None = None) -> Spark
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever they run: a zip of it is
+    handed to the session's own file distribution, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_flatcel_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / "flatcel.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    sc.addPyFile(str(archive))
+    sc._flatcel_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point the context at the cluster's shared checkpoint folder.
 
