@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -10,6 +11,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written by cut_lineage and not yet dropped.
+_FOLDERS: dict[str, SparkSession] = {}
+
 
 def local_session(app: str = "flatcel", cores: str | int | None = None) -> SparkSession:
     """Session for tests and benchmarks; a cluster brings its own settings."""
@@ -68,9 +72,35 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Lost executors then cost a re-read of a file, loop plans stay small, and the
     next step plans with real sizes. (``DataFrame.checkpoint`` keeps the derived
     constraints of the old plan, which grow exponentially in join loops.)
+    The folder goes when ``drop_written`` is called or the driver ends.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    written = spark.read.schema(df.schema).parquet(folder)
+    written._cut_folder = folder
+    _FOLDERS.setdefault(folder, spark)
+    return written
+
+
+def drop_written(*frames: DataFrame | None) -> None:
+    """Delete the folders behind frames that ``cut_lineage`` returned."""
+    for df in frames:
+        folder = getattr(df, "_cut_folder", None) if df is not None else None
+        if folder is not None and _FOLDERS.pop(folder, None) is not None:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for folder, spark in list(_FOLDERS.items()):
+        try:
+            _delete(spark, folder)
+        except Exception:  # the session has ended before
+            return
