@@ -2,22 +2,27 @@
 
 A byte goes if it lies in a string of ``length`` bytes that also starts earlier. Sorting
 the suffix of every byte would exchange the corpus many times over, so two steps decide
-first which suffixes can repeat at all:
+first which suffixes can repeat at all and share one suffix among neighbouring windows:
 
 1. Every window of ``length`` bytes is owned by its anchor, the gram of least hash inside
    it (leftmost on a tie). Equal windows have equal anchors at equal offsets. Neighbouring
-   windows share an anchor, so one record stands for some thirty suffixes; its context is
+   windows share an anchor, so one record stands for some thirty windows; its context is
    the union of its windows. Records meet by anchor hash. Equal contexts leave their first
    place and lose the others; an anchor seen once is dropped; an anchor with unlike
-   contexts sends its windows on.
-2. The suffixes of these windows, cut at ``length`` bytes, are sorted in their map task,
-   front-coded (bytes shared with the suffix before, then the rest) and exchanged as
-   sorted runs. A loser tree merges the runs of a bucket; it carries common-prefix lengths
-   and compares only behind them. Equal suffixes come out side by side: the first place
+   contexts goes on to the sort. Map tasks settle what they can among their own records
+   before the exchange, so a passage that a third of all documents share arrives once per
+   task.
+2. The suffixes that start at these anchors are sorted in their map task, front-coded
+   (bytes shared with the suffix before, then the rest) and exchanged as sorted runs. A
+   loser tree merges the runs of a bucket; it carries common-prefix lengths and compares
+   only behind them. A window that starts ``o`` bytes before its anchor repeats another
+   one if their suffixes share ``length - o`` bytes and the bytes before the anchors agree
+   ``o`` bytes back. The merge gives the first as runs of common-prefix lengths, a sort of
+   the reversed bytes before the anchors the second. Of equal windows the first place
    stays, the others go.
 
-Map tasks settle what they can among their own records before the exchange, so a passage
-that a third of all documents share arrives once per task.
+A bucket holds the distinct contexts of its anchors, some 150 bytes each; nothing is
+compared pair by pair.
 """
 
 from __future__ import annotations
@@ -40,7 +45,8 @@ LENGTH = 100
 # Bytes of the gram whose hash picks the anchor of a window.
 GRAM = 36
 _CHUNK = 4 << 20  # bytes hashed at once; positions in a chunk fit 23 bits
-_TASK_RECORDS = 1_500_000  # records or suffixes held by a map task before it sends runs
+_TASK_RECORDS = 1_500_000  # records held by a map task before it sends them
+_TASK_SUFFIXES = 300_000  # suffixes held by a map task before it sends runs
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MULTI = 255  # marks an anchor that has unlike contexts within one task
@@ -70,13 +76,13 @@ def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, first window, last window) of each run of windows with one anchor.
+    """(anchor hash, anchor, first window, last window) of each run of windows with one anchor.
 
     ``data`` holds several texts; ``ends`` gives for each byte where its text ends. Windows
     that cross a text's end do not count."""
     n = len(data)
     if n < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     h = gram_hashes(data, gram)
     low = np.uint64((1 << 23) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -90,14 +96,18 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple
     start = np.flatnonzero(np.arange(n - length + 1) + length <= ends[: n - length + 1])
     at = at[start]
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3
     new = np.flatnonzero(np.diff(at)) + 1
     first = np.concatenate([[0], new])
     last = np.concatenate([new - 1, [len(at) - 1]])
-    return h[at[first]], start[first], start[last]
+    return h[at[first]], at[first], start[first], start[last]
 
 
-RECORD = np.dtype([("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1")])
+# Windows start at lo .. lo + n, their anchor at lo + skip.
+RECORD = np.dtype(
+    [("gram", "<u8"), ("context", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1"), ("skip", "u1")]
+)
+CANDIDATE = np.dtype([("gram", "<u8"), ("doc", "<i8"), ("lo", "<u4"), ("n", "u1"), ("skip", "u1")])
 RANGE = np.dtype([("doc", "<i8"), ("lo", "<u4"), ("hi", "<u4")])
 
 
@@ -114,7 +124,7 @@ def _records(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> np
     sizes = np.array([len(p) for _, _, p in pieces])
     stops = np.cumsum(sizes)
     data = np.frombuffer(joined, np.uint8)
-    g, lo, hi = anchors(data, np.repeat(stops, sizes), length, gram)
+    g, at, lo, hi = anchors(data, np.repeat(stops, sizes), length, gram)
     out = np.empty(len(g), RECORD)
     owner = np.searchsorted(stops, lo, side="right")
     digest = xxhash.xxh3_64_intdigest
@@ -126,6 +136,7 @@ def _records(pieces: list[tuple[int, int, bytes]], length: int, gram: int) -> np
     out["doc"] = np.array([d for d, _, _ in pieces], np.int64)[owner]
     out["lo"] = lo - (stops - sizes)[owner] + np.array([o for _, o, _ in pieces])[owner]
     out["n"] = hi - lo
+    out["skip"] = at - lo
     return out
 
 
@@ -179,18 +190,26 @@ def _unpack(blob: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-def _doc_rows(kind: bool, ranges: np.ndarray) -> Iterator[tuple[int, bool, bytes]]:
-    """(doc, candidate, packed lo/hi pairs), one row per document."""
-    if not len(ranges):
+def _candidates(r: np.ndarray) -> np.ndarray:
+    out = np.empty(len(r), CANDIDATE)
+    for c in CANDIDATE.names:
+        out[c] = r[c]
+    return out
+
+
+def _doc_rows(candidate: bool, rows: np.ndarray) -> Iterator[tuple[int, bool, bytes]]:
+    """(doc, candidate, packed lo/hi pairs or candidates), one row per document."""
+    if not len(rows):
         return
-    ranges = ranges[np.argsort(ranges["doc"], kind="stable")]
-    cut = np.flatnonzero(np.diff(ranges["doc"])) + 1
-    pairs = np.stack([ranges["lo"], ranges["hi"]], axis=1).astype("<u4")
-    for part, doc in zip(np.split(pairs, cut), ranges["doc"][np.concatenate([[0], cut])].tolist()):
-        yield doc, kind, part.tobytes()
+    rows = rows[np.argsort(rows["doc"], kind="stable")]
+    cut = np.flatnonzero(np.diff(rows["doc"])) + 1
+    body = rows if candidate else np.stack([rows["lo"], rows["hi"]], axis=1).astype("<u4")
+    for part, doc in zip(np.split(body, cut), rows["doc"][np.concatenate([[0], cut])].tolist()):
+        yield doc, candidate, part.tobytes()
 
 
 _RUN = StructType([StructField("bucket", IntegerType()), StructField("kind", IntegerType()), StructField("run", BinaryType())])
+_SUFFIX_RUN = StructType([StructField("bucket", IntegerType()), StructField("run", BinaryType())])
 _DOC_RANGES = StructType(
     [StructField("doc", LongType()), StructField("candidate", BooleanType()), StructField("pairs", BinaryType())]
 )
@@ -226,7 +245,7 @@ def _send_records(length: int, gram: int, buckets: int):
             return
         again = np.concatenate([[False], r[1:] == r[:-1]])  # a repeated row of the same document
         gone = merged(_ranges(r[~first & ~again], length))
-        some = merged(_ranges(r[first & unlike], 1))
+        some = _candidates(r[first & unlike])
         for candidate, x in ((0, gone), (1, some)):
             b = x["doc"] % buckets
             for k in np.unique(b):
@@ -280,7 +299,7 @@ def _meet_records(length: int):
                     if kind == 2:
                         by_bucket[bucket].append(_unpack(blob, RECORD))
                     else:
-                        yield from _doc_rows(bool(kind), _unpack(blob, RANGE))
+                        yield from _doc_rows(bool(kind), _unpack(blob, CANDIDATE if kind else RANGE))
             while by_bucket:
                 _, parts = by_bucket.popitem()
                 r, first, unlike = _settle(np.concatenate(parts))
@@ -296,7 +315,7 @@ def _meet_records(length: int):
                 np.minimum.at(lead, context[own], rank[own])
                 keeps = own & (rank == lead[context])
                 yield from _doc_rows(False, merged(_ranges(r[own & ~keeps & ~again], length)))
-                yield from _doc_rows(True, merged(_ranges(r[keeps & (unlike | marked)], 1)))
+                yield from _doc_rows(True, _candidates(r[keeps & (unlike | marked)]))
 
         yield from _rows(rows(), _DOC_RANGES)
 
@@ -321,36 +340,42 @@ def shared(a: bytes, b: bytes, at: int = 0) -> int:
     return at
 
 
-def front_coded(suffixes: list[tuple[bytes, int, int]]) -> bytes:
-    """A sorted run: (shared bytes, rest, document, start) of each suffix."""
+_HEAD = struct.Struct("<HHBqIBB")
+
+
+def front_coded(suffixes: list[tuple[bytes, int, int, int, int, bytes]]) -> bytes:
+    """A sorted run of (suffix, document, first window, n, skip, reversed bytes before): each entry
+    holds the number of bytes shared with the suffix before and the rest of it."""
     out, before = bytearray(), b""
-    for text, doc, start in suffixes:
-        n = shared(before, text)
-        out += struct.pack("<HHqI", n, len(text) - n, doc, start)
-        out += text[n:]
+    for text, doc, lo, n, skip, back in suffixes:
+        k = shared(before, text)
+        out += _HEAD.pack(k, len(text) - k, len(back), doc, lo, n, skip)
+        out += text[k:]
+        out += back
         before = text
     return bytes(out)
 
 
-def decoded(run: bytes) -> Iterator[tuple[int, bytes, int, int]]:
-    """(shared bytes, suffix, document, start) in order."""
-    at, before, size = 0, b"", struct.calcsize("<HHqI")
+def decoded(run: bytes) -> Iterator[tuple]:
+    """(shared bytes, suffix, document, first window, n, skip, reversed bytes before) in order."""
+    at, before = 0, b""
     while at < len(run):
-        n, rest, doc, start = struct.unpack_from("<HHqI", run, at)
-        at += size
-        before = before[:n] + run[at : at + rest]
+        k, rest, back, doc, lo, n, skip = _HEAD.unpack_from(run, at)
+        at += _HEAD.size
+        before = before[:k] + run[at : at + rest]
         at += rest
-        yield n, before, doc, start
+        yield k, before, doc, lo, n, skip, run[at : at + back]
+        at += back
 
 
 class LoserTree:
-    """Merges sorted runs of (shared bytes, suffix, document, start).
+    """Merges sorted runs of (shared bytes, suffix, ..).
 
     Every player knows how many bytes it shares with the suffix last taken. Of two players
     the one that shares more is smaller; only if both share equally many are they compared,
     from there on, and the loser keeps what it shares with the winner."""
 
-    def __init__(self, runs: list[Iterator[tuple[int, bytes, int, int]]]):
+    def __init__(self, runs: list[Iterator[tuple]]):
         self.runs = runs
         self.size = max(1, len(runs))
         self.head: list[tuple | None] = [next(r, None) for r in runs]
@@ -378,12 +403,11 @@ class LoserTree:
         self.common[a] = n
         return b, a
 
-    def __iter__(self) -> Iterator[tuple[int, bytes, int, int]]:
-        """(bytes shared with the suffix before, suffix, document, start) in order."""
+    def __iter__(self) -> Iterator[tuple]:
+        """(bytes shared with the suffix before, suffix, ..) in order."""
         while self.winner >= 0 and self.head[self.winner] is not None:
             w = self.winner
-            _, text, doc, start = self.head[w]
-            yield self.common[w], text, doc, start
+            yield self.common[w], *self.head[w][1:]
             self.head[w] = next(self.runs[w], None)
             if self.head[w] is not None:
                 self.common[w] = self.head[w][0]
@@ -394,79 +418,100 @@ class LoserTree:
             self.winner = w
 
 
-def first_places(merged_run: Iterable[tuple[int, bytes, int, int]]) -> Iterator[tuple[int, int]]:
-    """(document, start) of every suffix that also starts earlier."""
-    best: tuple[int, int] | None = None
-    before = -1
-    for n, text, doc, start in merged_run:
-        if best is not None and n == len(text) == before:
-            here = (doc, start)
-            if here == best:
-                continue
-            yield max(here, best)
-            best = min(here, best)
-        else:
-            best, before = (doc, start), len(text)
+def repeated_windows(merged_run: Iterable[tuple], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of every window of the merged suffixes that also starts earlier."""
+    common, docs, lows, ns, skips, backs = [], [], [], [], [], []
+    for k, _, doc, lo, n, skip, back in merged_run:
+        common.append(k)
+        docs.append(doc)
+        lows.append(lo)
+        ns.append(n)
+        skips.append(skip)
+        backs.append(back)
+    size = len(common)
+    if size < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    right = np.array(common)
+    right[0] = -1
+    group = np.cumsum(right < gram)
+    doc, lo = np.array(docs, np.int64), np.array(lows, np.int64)
+    n, skip = np.array(ns, np.int64), np.array(skips, np.int64)
+    by_back = sorted(range(size), key=lambda i: (group[i], backs[i]))
+    left = np.array(
+        [-1]
+        + [shared(backs[a], backs[b]) if group[a] == group[b] else -1 for a, b in zip(by_back, by_back[1:])]
+    )
+    by_back = np.array(by_back)
+    anchor = lo + skip
+    order = np.lexsort((anchor, doc))
+    again = np.zeros(size, bool)  # a repeated row of the same document
+    again[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (anchor[order[1:]] == anchor[order[:-1]])
+    order = order[~again[order]]
+    gone_doc, gone_at = [], []
+    back_class = np.empty(size, np.int64)
+    for o in range(length - gram + 1):
+        here = order[(skip[order] >= o) & (skip[order] - n[order] <= o)]
+        if len(here) < 2:
+            continue
+        back_class[by_back] = np.cumsum(left < o)
+        key = np.cumsum(right < length - o)[here] * (size + 1) + back_class[here]
+        sort = np.argsort(key, kind="stable")  # keeps the order of places
+        later = here[sort[1:][key[sort[1:]] == key[sort[:-1]]]]
+        gone_doc.append(doc[later])
+        gone_at.append(anchor[later] - o)
+    if not gone_doc:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(gone_doc), np.concatenate(gone_at)
 
 
 def _send_suffixes(length: int, buckets: int):
-    """Map side of step 2: sorted, front-coded runs of the candidate windows."""
-
-    def flush(held: list[tuple[bytes, int, int]]) -> Iterator[tuple]:
-        held.sort()
-        runs: dict[int, list] = defaultdict(list)
-        gone: dict[int, list[int]] = defaultdict(list)
-        before = None
-        for s in held:
-            if before is not None and s[0] == before:
-                gone[s[1]].append(s[2])
-                continue
-            before = s[0]
-            runs[xxhash.xxh3_64_intdigest(s[0]) % buckets].append(s)
-        for bucket, run in runs.items():
-            yield bucket, 2, zstandard.ZstdCompressor(level=1).compress(front_coded(run))
-        for doc, starts in gone.items():
-            yield doc % buckets, 0, struct.pack("<q", doc) + np.array(starts, "<u4").tobytes()
+    """Map side of step 2: sorted, front-coded runs of the suffixes at candidate anchors."""
+
+    def flush(held: dict[int, list]) -> Iterator[tuple]:
+        for bucket, run in held.items():
+            run.sort()
+            yield bucket, zstandard.ZstdCompressor(level=1).compress(front_coded(run))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            held: list[tuple[bytes, int, int]] = []
+            held: dict[int, list] = defaultdict(list)
+            n_held = 0
             for batch in batches:
-                for doc, text, pairs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                for doc, text, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                     data = text.as_py().encode("utf-8", "surrogatepass")
-                    for lo, hi in union(pairs):
-                        held.extend((data[p : p + length], doc, p) for p in range(lo, hi))
-                        if len(held) > _TASK_RECORDS // 4:
-                            yield from flush(held)
-                            held = []
+                    for blob in packed:
+                        for g, _, lo, n, skip in np.frombuffer(blob, CANDIDATE).tolist():
+                            at = lo + skip
+                            held[g % buckets].append((data[at : lo + n + length], doc, lo, n, skip, data[lo:at][::-1]))
+                            n_held += 1
+                    if n_held > _TASK_SUFFIXES:
+                        yield from flush(held)
+                        held, n_held = defaultdict(list), 0
             yield from flush(held)
 
-        yield from _rows(rows(), _RUN)
+        yield from _rows(rows(), _SUFFIX_RUN)
 
     return run
 
 
-def _merge_suffixes():
-    """Owner side of step 2: windows that go, as (document, start, start + 1) ranges."""
+def _merge_suffixes(length: int, gram: int):
+    """Owner side of step 2: starts of windows that go, as packed [lo, hi) pairs of starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             runs: dict[int, list[bytes]] = defaultdict(list)
             for batch in batches:
-                for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                    if kind == 2:
-                        runs[bucket].append(blob)
-                    else:
-                        starts = np.frombuffer(blob[8:], "<u4")
-                        yield struct.unpack_from("<q", blob)[0], False, _single(starts)
+                for bucket, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                    runs[bucket].append(blob)
             while runs:
                 _, blobs = runs.popitem()
                 texts = [zstandard.ZstdDecompressor().decompressobj().decompress(b) for b in blobs]
-                gone: dict[int, list[int]] = defaultdict(list)
-                for doc, start in first_places(LoserTree([decoded(t) for t in texts])):
-                    gone[doc].append(start)
-                for doc, starts in gone.items():
-                    yield doc, False, _single(np.array(starts, "<u4"))
+                doc, at = repeated_windows(LoserTree([decoded(t) for t in texts]), length, gram)
+                order = np.argsort(doc, kind="stable")
+                cut = np.flatnonzero(np.diff(doc[order])) + 1
+                for part in np.split(order, cut):
+                    if len(part):
+                        yield int(doc[part[0]]), False, _single(at[part])
 
         yield from _rows(rows(), _DOC_RANGES)
 
@@ -529,9 +574,9 @@ def repeated_ranges(rows: DataFrame, length: int, gram: int) -> DataFrame:
     suffixes = (
         texts.join(windows, "doc")
         .select("doc", "text", "pairs")
-        .mapInArrow(_send_suffixes(length, buckets), _RUN)
+        .mapInArrow(_send_suffixes(length, buckets), _SUFFIX_RUN)
         .repartition(buckets, "bucket")
-        .mapInArrow(_merge_suffixes(), _DOC_RANGES)
+        .mapInArrow(_merge_suffixes(length, gram), _DOC_RANGES)
     )
     gone = cut_lineage(suffixes)
     longer = F.lit(length - 1)

@@ -212,10 +212,10 @@ def test_loser_tree():
     rng = random.Random(9)
     runs = []
     for k in range(7):
-        run = sorted((bytes(rng.choice(b"ab") for _ in range(12)), k, i) for i in range(rng.randrange(40)))
+        run = sorted((bytes(rng.choice(b"ab") for _ in range(12)), k, i, 1, 2, b"x") for i in range(rng.randrange(40)))
         runs.append(run)
     merged = list(U.LoserTree([U.decoded(U.front_coded(r)) for r in runs]))
-    assert [m[1] for m in merged] == sorted(t for r in runs for t, _, _ in r)
+    assert [m[1] for m in merged] == sorted(x[0] for r in runs for x in r)
     for a, b in zip(merged, merged[1:]):
         assert b[0] == U.shared(a[1], b[1])
 
