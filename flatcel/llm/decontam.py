@@ -74,7 +74,7 @@ def lead_terms(windows: DataFrame, frequency: DataFrame) -> DataFrame:
         windows.select("win", "words")
         .distinct()
         .select("win", "words", F.posexplode("words").alias("o", "term"))
-        .join(frequency, "term", "left")
+        .join(small_side(frequency), "term", "left")
         .groupBy("win", "words")
         .agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "o", "term"))).alias("r"))
     )
@@ -89,8 +89,10 @@ def lead_terms(windows: DataFrame, frequency: DataFrame) -> DataFrame:
 
 
 def postings(texts: DataFrame, leads: DataFrame, reach: int = WINDOW) -> DataFrame:
-    """The index (term, id, k, pos, around) of the leading terms. ``around`` holds the words
-    from ``reach - 1`` before to ``reach - 1`` after the posting of a rarest term, else null."""
+    """The index (term, id, k, pos, around) of the leading terms. ``around`` holds the words from
+    ``reach - 1`` before to ``reach - 1`` after the posting of a rarest term, joined by
+    blanks, else null. (Generated code cuts them out; a higher-order function here would
+    copy the whole text once per posting.)"""
     terms = (
         leads.select(
             F.explode(
@@ -118,7 +120,7 @@ def postings(texts: DataFrame, leads: DataFrame, reach: int = WINDOW) -> DataFra
             "pos",
             F.when(
                 F.col("rarest") == 1,
-                F.transform(F.slice("all", first + 1, F.col("pos") - first + reach), folded),
+                folded(F.concat_ws(" ", F.slice("all", first + 1, F.col("pos") - first + reach))),
             ).alias("around"),
         )
     )
@@ -148,7 +150,7 @@ def phrase_matches(index: DataFrame, leads: DataFrame, reach: int = WINDOW) -> D
     met = rare.where("t2 is not null").join(second, same, "left_semi").unionByName(rare.where("t2 is null"))
     # The posting stands at index least(pos, reach - 1) of ``around``.
     at = F.least(F.col("start") + F.col("o1"), F.lit(reach - 1)) - F.col("o1")
-    return met.where(F.slice("around", F.greatest(at + 1, F.lit(1)), F.size("words")) == F.col("words")).select(
+    return met.where(F.slice(F.split("around", " "), F.greatest(at + 1, F.lit(1)), F.size("words")) == F.col("words")).select(
         "id", "k", "win", "start", F.size("words").alias("n")
     )
 
@@ -187,7 +189,8 @@ def build_index(
     texts = keyed_texts(docs, id_col, text_col)
     windows = cut_lineage(item_windows(items, window))
     terms = windows.select(F.explode("words").alias("term")).distinct()
-    leads = cut_lineage(lead_terms(windows, document_frequency(texts, terms)))
+    frequency = cut_lineage(document_frequency(texts, terms))
+    leads = cut_lineage(lead_terms(windows, frequency))
     return windows, leads, cut_lineage(postings(texts, leads, window))
 
 
