@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.llm.spans import count_kind, joined, matches
+from flatcel.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -115,13 +116,14 @@ def findings(
 ) -> tuple[DataFrame, DataFrame]:
     """(spans of every path, new ledger rows).
 
-    The first frame has one row per row of ``versions``: the path and ``found``, an array
+    New ledger rows are written to the shared checkpoint folder as they are found. The first
+    frame has one row per row of ``versions``: the path and ``found``, an array
     of (s, kind order, kind, e) ordered by start, then kind. The second is to be appended
     to the ledger. Null and empty texts are one blob without findings; repeated rows and
     null paths get the findings of their content; other columns are not looked at; an
     empty table gives empty frames.
     """
-    fresh = scan(unseen_blobs(versions, ledger, rules, text_col), rules)
+    fresh = cut_lineage(scan(unseen_blobs(versions, ledger, rules, text_col), rules))
     known = fresh
     if ledger is not None:
         current = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.version)])
@@ -138,7 +140,9 @@ def findings(
         )
     )
     paths = versions.select(path_col, content_address(F.col(text_col)).alias("blob"))
-    out = paths.join(by_blob, "blob", "left").select(path_col, "blob", "found")
+    # Written, so that the join is one of two plain shuffles and Spark may split a blob that
+    # very many paths share.
+    out = paths.join(cut_lineage(by_blob), "blob", "left").select(path_col, "blob", "found")
     return out, fresh
 
 
