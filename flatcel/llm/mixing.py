@@ -30,11 +30,16 @@ def token_count(text: Column) -> Column:
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
     """A coarse topic: the bucket of the longest word of the text (of equally long ones the
     greatest), -1 without words. Copies of a text share it."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]++"), F.lit(0))
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))["w"]
+    # Nearly every text has a long word; only texts without one look at all their words.
+    longest = F.coalesce(_longest(text, "{12,}+"), _longest(text, "++"))
     return F.coalesce(F.pmod(F.xxhash64(longest), F.lit(topics)).cast("int"), F.lit(-1))
 
 
+def _longest(text: Column, repeat: str) -> Column:
+    words = F.regexp_extract_all(text, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]" + repeat), F.lit(0))
+    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))["w"]
+
+
 def smoothed_targets(cells: DataFrame, margin: str, power: float = SMOOTHING) -> DataFrame:
     """(margin, share): token shares to ``power``, normalised."""
     sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(power)).alias("s"))
