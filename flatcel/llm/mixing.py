@@ -24,20 +24,20 @@ SMOOTHING = 0.7
 
 def token_count(text: Column) -> Column:
     """Words between ASCII whitespace; 0 for null and empty."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]++"), F.lit(0))), F.lit(0))
+    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(r"[\x00-\x08\x0E-\x1F\x21-\x{10FFFF}]++"), F.lit(0))), F.lit(0))
 
 
-def topic_of(text: Column, topics: int = TOPICS) -> Column:
-    """A coarse topic: the bucket of the longest word of the text (of equally long ones the
-    greatest), -1 without words. Copies of a text share it."""
-    # Nearly every text has a long word; only texts without one look at all their words.
-    longest = F.coalesce(_longest(text, "{12,}+"), _longest(text, "++"))
-    return F.coalesce(F.pmod(F.xxhash64(longest), F.lit(topics)).cast("int"), F.lit(-1))
+_LETTER = r"[A-Za-z\x{80}-\x{10FFFF}]"
 
 
-def _longest(text: Column, repeat: str) -> Column:
-    words = F.regexp_extract_all(text, F.lit(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]" + repeat), F.lit(0))
-    return F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), F.lower(w).alias("w"))))["w"]
+def topic_of(text: Column, topics: int = TOPICS) -> Column:
+    """A coarse topic: the bucket of the greatest (in byte order) of the words of twelve and more
+    letters; without one, of the greatest word; without words, of the empty one. Copies
+    share it."""
+    long_words = F.regexp_extract_all(text, F.lit(_LETTER + "{12,}+"), F.lit(0))
+    words = F.regexp_extract_all(text, F.lit(_LETTER + "++"), F.lit(0))
+    word = F.coalesce(F.array_max(long_words), F.array_max(words), F.lit(""))
+    return F.pmod(F.xxhash64(word), F.lit(topics)).cast("int")
 
 
 def smoothed_targets(cells: DataFrame, margin: str, power: float = SMOOTHING) -> DataFrame:
