@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from flatcel.operators.skew import HOT_ROWS, join_unique
-from flatcel.session import cut_lineage
+from flatcel.operators.skew import join_unique
+from flatcel.session import cut_lineage, drop_written
 
 
-def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int | None = None) -> DataFrame:
     """(node, component) for the nodes of (src, dst); the component is its
     smallest node. Works on any sortable node type.
 
@@ -40,7 +40,8 @@ def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS)
             .where("u <> v")
             .distinct()
         )
-        links = cut_lineage(small)
+        before, links = links, cut_lineage(small)
+        drop_written(before, large)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break

@@ -17,9 +17,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from flatcel.functions.arrays import argmax, dot, let, softmax
 from flatcel.functions.color import NULL_COLOR
+from flatcel.session import cut_lineage
 
 BLOCK = 128
 TEMPERATURE = 0.1
+# Taken off the similarity of a masked reference.
+MASKED = 1e4
 
 
 def _blocks(side: DataFrame, prefix: str) -> DataFrame:
@@ -98,32 +101,33 @@ def similarity(ref: DataFrame, tgt: DataFrame, temperature: float = TEMPERATURE)
 
 
 def masked_softmax(sims: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
-    """Weights of each target over all its references; masked ones (null color)
-    get 0. Similarities of unit vectors never exceed 1/temperature, so that
-    constant replaces the usual maximum and blocks combine by plain sums."""
-    shift = 1.0 / temperature
-    raw = F.zip_with(
-        "sims", "ref_colors", lambda s, c: F.when(c == NULL_COLOR, F.lit(0.0)).otherwise(F.exp(s - shift))
+    """Weights of each target over all its references. Masked ones (null color) lose
+    ``MASKED`` before the softmax, which leaves them no weight; if all references of a
+    target are masked, theirs is an ordinary softmax. The greatest value of a target is
+    taken off first, whatever the temperature."""
+    lowered = F.zip_with("sims", "ref_colors", lambda s, c: F.when(c == NULL_COLOR, s - MASKED).otherwise(s))
+    scored = sims.withColumn("s", lowered)
+    peaks = scored.groupBy("pair_id", "tgt_seg").agg(F.max(F.array_max("s")).alias("__peak"))
+    weighed = scored.join(peaks, ["pair_id", "tgt_seg"]).withColumn(
+        "w", F.transform("s", lambda v: F.exp(v - F.col("__peak")))
     )
-    scored = sims.withColumn("w", raw)
-    totals = scored.groupBy("pair_id", "tgt_seg").agg(
+    totals = weighed.groupBy("pair_id", "tgt_seg").agg(
         F.sum(F.aggregate("w", F.lit(0.0), lambda a, e: a + e)).alias("__z")
     )
-    return scored.join(totals, ["pair_id", "tgt_seg"]).select(
+    return weighed.join(totals, ["pair_id", "tgt_seg"]).select(
         "pair_id",
         "tgt_seg",
         "ref_block",
         "ref_segs",
-        F.transform("w", lambda e: F.when(F.col("__z") > 0, e / F.col("__z"))).alias("weights"),
+        F.transform("w", lambda e: e / F.col("__z")).alias("weights"),
     )
 
 
 def color_votes(ref: DataFrame, tgt: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
     """Share of the softmax weight that each color id gets from the references
-    of a target. Similarity, softmax and vote happen in one pass; partial sums
-    per color leave the tasks. Targets all of whose references are masked give
+    of a target. Similarity and vote happen in one pass; partial sums per color
+    and block leave the tasks. Targets all of whose references are masked give
     their whole vote to id 0, where masked references are counted."""
-    shift = 1.0 / temperature
 
     def partial(sim: np.ndarray, row: pd.Series) -> dict:
         colors = np.asarray(row.r_colors)
@@ -131,18 +135,25 @@ def color_votes(ref: DataFrame, tgt: DataFrame, temperature: float = TEMPERATURE
         ids, where = np.unique(colors[kept], return_inverse=True)
         one_hot = np.zeros((kept.sum(), len(ids)))
         one_hot[np.arange(len(where)), where] = 1.0
-        votes = np.exp(sim[:, kept] - shift) @ one_hot
+        top = sim[:, kept].max(axis=1, initial=-np.inf)
+        votes = np.exp(sim[:, kept] - top[:, None]) @ one_hot
         n, k = votes.shape
         return {
             "tgt_seg": np.repeat(np.asarray(row.t_segs), k),
             "color_id": np.tile(ids, n).astype("int32"),
+            "top": np.repeat(top, k),
             "w": votes.reshape(-1),
         }
 
+    # Sums of a block are relative to the greatest similarity there.
+    blocks = cut_lineage(
+        _per_block(block_pairs(ref, tgt), partial, "tgt_seg int, color_id int, top double, w double", temperature)
+    )
+    peaks = blocks.groupBy("pair_id", "tgt_seg").agg(F.max("top").alias("peak"))
     summed = (
-        _per_block(block_pairs(ref, tgt), partial, "tgt_seg int, color_id int, w double", temperature)
+        blocks.join(peaks, ["pair_id", "tgt_seg"])
         .groupBy("pair_id", "tgt_seg", "color_id")
-        .agg(F.sum("w").alias("w"))
+        .agg(F.sum(F.col("w") * F.exp(F.col("top") - F.col("peak"))).alias("w"))
     )
     # At most one row per palette color is left for each target.
     share = F.col("w") / F.sum("w").over(Window.partitionBy("pair_id", "tgt_seg"))

@@ -398,29 +398,35 @@ def quantize_colors(pixels: DataFrame, colors: int = 256, key: str = "project_id
 FLAT_COS = 0.866  # cosine of 30 degrees: straighter than this is no corner
 
 
-def _bent(ay: int, ax: int, by: int, bx: int) -> bool:
-    cos = (ay * by + ax * bx) / math.sqrt((ay * ay + ax * ax) * (by * by + bx * bx))
-    return -FLAT_COS < cos < FLAT_COS
-
-
-def _is_corner(line: np.ndarray, y: int, x: int, steps: int = 4) -> bool:
-    around = [(dy, dx) for dy, dx in SQUARE if (dy or dx) and line[y + dy, x + dx]]
-    if len(around) != 2 or not _bent(*around[0], *around[1]):
-        return False
-    far = []
-    for dy, dx in around:
-        previous, here = (y, x), (y + dy, x + dx)
+def _bend(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of vectors enclose between 30 and 150 degrees; a zero vector encloses nothing."""
+    size = np.sqrt((a * a).sum(1) * (b * b).sum(1).astype(float))
+    return np.abs((a * b).sum(1)) < FLAT_COS * size
+
+
+def _corners(line: np.ndarray, ys: np.ndarray, xs: np.ndarray, steps: int = 4) -> np.ndarray:
+    """Which of the pixels with two line neighbors bend, both right there and a few steps on.
+    All pixels follow their two arms at once, one array operation a step."""
+    ways = np.array([w for w in SQUARE if w != (0, 0)])
+    start = np.stack([ys, xs], axis=1)
+    rows = np.arange(len(start))
+
+    def open_ways(at: np.ndarray) -> np.ndarray:
+        return line[at[:, :1] + ways[:, 0], at[:, 1:] + ways[:, 1]]
+
+    both = np.argsort(~open_ways(start), axis=1, kind="stable")
+    near, far = [], []
+    for side in (0, 1):
+        arm = ways[both[:, side]]
+        behind, here = start, start + arm
         for _ in range(steps):
-            onward = [
-                (here[0] + sy, here[1] + sx)
-                for sy, sx in SQUARE
-                if (sy or sx) and line[here[0] + sy, here[1] + sx] and (here[0] + sy, here[1] + sx) != previous
-            ]
-            if not onward:
-                break
-            previous, here = here, onward[0]
-        far.append((here[0] - y - dy, here[1] - x - dx))
-    return all(v != (0, 0) for v in far) and _bent(*far[0], *far[1])
+            ahead = here[:, None] + ways
+            free = open_ways(here) & (ahead != behind[:, None]).any(2)
+            moves = free.any(1)[:, None]
+            behind, here = np.where(moves, here, behind), np.where(moves, ahead[rows, free.argmax(1)], here)
+        near.append(arm)
+        far.append(here - start - arm)
+    return _bend(*near) & _bend(*far)
 
 
 def skeleton_points(mask: DataFrame, tile: int = TILE) -> DataFrame:
@@ -440,8 +446,8 @@ def skeleton_points(mask: DataFrame, tile: int = TILE) -> DataFrame:
         edge = 6
         ry, rx = np.nonzero(line & (count == 2))
         inside = (ry >= edge) & (rx >= edge) & (ry < line.shape[0] - edge) & (rx < line.shape[1] - edge)
-        for y, x in zip(ry[inside], rx[inside]):
-            corner[y, x] = _is_corner(line, y, x)
+        ry, rx = ry[inside], rx[inside]
+        corner[ry, rx] = _corners(line, ry, rx)
         return {
             "line": line, "neighbors": count.astype("int32"), "is_end": line & (count == 1),
             "is_junction": junction, "is_opened": opened, "is_corner": corner,
@@ -453,7 +459,15 @@ def skeleton_points(mask: DataFrame, tile: int = TILE) -> DataFrame:
 
 def neighbor_count(mask: DataFrame, tile: int = TILE) -> DataFrame:
     """Number of line pixels among the eight neighbors (in the image)."""
-    return skeleton_points(mask, tile).select("image_id", "y", "x", "line", "neighbors")
+
+    def look(present, arrays, ys, xs):
+        line = present & (arrays["v"] > 0)
+        count = sum(shifted(line.astype("int32"), dy, dx, 0) for dy, dx in SQUARE if dy or dx)
+        return {"line": line, "neighbors": count.astype("int32")}
+
+    return stencil(mask, ("v",), 1, look, {"line": "boolean", "neighbors": "int"}, tile).select(
+        "image_id", "y", "x", "line", "neighbors"
+    )
 
 
 def keypoints(mask: DataFrame, tile: int = TILE) -> DataFrame:

@@ -545,47 +545,16 @@ def diff_regions(old: DataFrame, new: DataFrame, min_distance: int = 64, value:
 
 # --- points --------------------------------------------------------------------
 
-SMALL_IMAGE = 100_000
+def dedupe_points(points: DataFrame, distance: int = 3, order: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """Greedy thinning: in ``order``, a point stays unless one that stays lies within
+    ``distance``. Ties in ``order`` go by the other columns, so the order is total; of
+    points at one place the first stays, of equal rows one.
 
-
-def _greedy(ys: np.ndarray, xs: np.ndarray, distance: float) -> np.ndarray:
-    """Keep points in order unless a kept one lies within ``distance``."""
-    cell = max(int(distance), 1)
-    kept: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    keep = np.zeros(len(ys), dtype=bool)
-    for i, (y, x) in enumerate(zip(ys.tolist(), xs.tolist())):
-        cy, cx = y // cell, x // cell
-        near = (p for dy in (-1, 0, 1) for dx in (-1, 0, 1) for p in kept.get((cy + dy, cx + dx), ()))
-        if all((y - py) ** 2 + (x - px) ** 2 > distance * distance for py, px in near):
-            kept.setdefault((cy, cx), []).append((y, x))
-            keep[i] = True
-    return keep
-
-
-def dedupe_points(
-    points: DataFrame, distance: int = 3, order: tuple[str, ...] = ("y", "x"), small_image: int = SMALL_IMAGE
-) -> DataFrame:
-    """Greedy thinning: in ``order``, a point stays unless one that stays lies
-    within ``distance``. Images with up to ``small_image`` points (all usual
-    key point sets) are walked in one task each, larger ones in rounds over a
-    banded neighbor table with the same result."""
-    counts = points.groupBy("image_id").agg(F.count(F.lit(1)).alias("__n"))
-    large = cut_lineage(counts.where(F.col("__n") > small_image).select("image_id"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema)
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(order))
-        return pdf[_greedy(pdf["y"].to_numpy(), pdf["x"].to_numpy(), distance)]
-
-    if large.isEmpty():
-        return points.groupBy("image_id").applyInPandas(walk, schema)
-    small = points.join(large, "image_id", "left_anti").groupBy("image_id").applyInPandas(walk, schema)
-    return small.unionByName(_dedupe_rounds(points.join(large, "image_id", "left_semi"), distance, order))
-
-
-def _dedupe_rounds(points: DataFrame, distance: int, order: tuple[str, ...]) -> DataFrame:
+    Every round keeps the points that no undecided earlier one blocks and drops what they
+    block, over a neighbor table banded by cells; the result is that of the walk."""
     cell = max(distance, 1)
-    rows = cut_lineage(points.withColumn("__o", F.struct(*dict.fromkeys((*order, "y", "x")))))
+    total = dict.fromkeys((*order, "y", "x", *points.columns))
+    rows = cut_lineage(points.distinct().withColumn("__o", F.struct(*total)))
     here = rows.select("image_id", "y", "x", "__o", F.floor(F.col("y") / cell).alias("cy"), F.floor(F.col("x") / cell).alias("cx"))
     around = here.withColumn("cy", F.explode(F.array(*[F.col("cy") + d for d in (-1, 0, 1)]))).withColumn(
         "cx", F.explode(F.array(*[F.col("cx") + d for d in (-1, 0, 1)]))

@@ -6,21 +6,32 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_ROWS = 1_000_000
+# A key is hot with more than one in (HOT_SHARE x shuffle partitions) of the rows, so there
+# are at most that many hot keys, whatever the size of the table.
+HOT_SHARE = 4
+
+
+def hot_keys(stats: DataFrame, count: str, hot_rows: int | None = None) -> DataFrame:
+    """``stats`` with the flag ``__hot``: more than ``hot_rows`` rows, by default more than the
+    share above."""
+    if hot_rows is not None:
+        return stats.withColumn("__hot", F.col(count) > hot_rows)
+    parts = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = stats.agg((F.sum(count) / (HOT_SHARE * parts)).alias("__hot_limit"))
+    return stats.crossJoin(F.broadcast(total)).withColumn("__hot", F.col(count) > F.col("__hot_limit")).drop("__hot_limit")
 
 
 def with_group_facts(
     df: DataFrame,
     keys: Sequence[str],
     facts: dict[str, Column],
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """``df`` plus aggregates of its own groups (``facts``), keys may be null.
 
-    A group of more than ``hot_rows`` rows would pile up in one join task, so
-    those few are served by broadcast: there are at most ``rows / hot_rows`` of
-    them, a bound that follows from the counts themselves. All others take the
-    ordinary shuffle join.
+    A group with a large share of all rows would pile up in one join task, so
+    those few are served by broadcast: their number has a constant bound
+    (``HOT_SHARE``). All others take the ordinary shuffle join.
     """
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("__n"), *[c.alias(n) for n, c in facts.items()]
@@ -33,12 +44,12 @@ def join_unique(
     stats: DataFrame,
     keys: Sequence[str],
     count: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left join with a table of one row per key, splitting off its hot
     keys. ``count`` names the column with the number of rows per key."""
-    right = stats
+    right = hot_keys(stats, count, hot_rows)
     for k in keys:
         right = right.withColumnRenamed(k, f"__k_{k}")
     condition = None
@@ -46,8 +57,8 @@ def join_unique(
         same = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
         condition = same if condition is None else condition & same
     drop = [f"__k_{k}" for k in keys]
-    hot = F.broadcast(right.where(F.col(count) > hot_rows))
-    cold = right.where(F.col(count) <= hot_rows)
+    hot = F.broadcast(right.where("__hot").drop("__hot"))
+    cold = right.where("not __hot").drop("__hot")
     rows_hot = df.join(hot, condition, "inner").drop(*drop)
     rows_cold = (
         df.join(hot.select(*drop), condition, "left_anti")

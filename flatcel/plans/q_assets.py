@@ -59,10 +59,10 @@ def store_images_records(v):
     """SELECT image_id, CASE WHEN NOT gone THEN hash END AS hash,
               greatest(reference_count - n, least(reference_count, 1)) AS reference_count, has_bytes AND NOT gone AS has_bytes
        FROM (SELECT o.*, coalesce(r.n, 0) AS n, coalesce(r.n, 0) > 0 AND r.n >= greatest(reference_count, 1) AS gone
-             FROM oldimages o LEFT JOIN (SELECT 'old_' || conv_id AS image_id, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY 1) r USING (image_id))""",
+             FROM oldimages o LEFT JOIN (SELECT 'old_' || conv_id AS image_id, count(*) AS n FROM conversations GROUP BY 1) r USING (image_id))""",
 )
 def release_images(v):
-    releases = v.table("conversations").where("role = 'user'").selectExpr(
+    releases = v.table("conversations").selectExpr(
         "concat('old_', cast(conv_id as string)) as image_id"
     )
     return A.release_images(old_images(v), releases)
@@ -247,7 +247,7 @@ def dimension_mismatch(v):
 VIEW_SQL["imports"] = r"""
   WITH f AS (SELECT scene AS project_id, seq, name, CASE WHEN size > 490000 THEN 512 ELSE 1024 END AS w, 384 AS h, size > 5000 AS has_transparent,
                     TRY_CAST(nullif(regexp_extract(regexp_replace(name, '\.[^.]*$', ''), '([0-9]+)$', 1), '') AS INTEGER) + 1 AS frame_nr
-             FROM files WHERE flag = 'O'),
+             FROM files),
   s AS (SELECT f.*, coalesce(c.w, first_value(f.w) OVER (PARTITION BY f.project_id ORDER BY seq)) AS cw
         FROM f LEFT JOIN (SELECT c_custkey AS project_id, 1024 AS w FROM customer WHERE c_mktsegment = 'BUILDING') c USING (project_id)),
   j AS (SELECT *, CASE WHEN NOT has_transparent THEN 'NO_ALPHA' WHEN w <> cw THEN 'DIMENSIONS'
@@ -259,7 +259,7 @@ VIEW_SQL["imports"] = r"""
 
 @query("import_frames", "SELECT * FROM imports")
 def import_frames(v):
-    files = v.files.where("flag = 'O'").selectExpr(
+    files = v.files.selectExpr(
         "scene as project_id", "seq", "name", "if(size > 490000, 512, 1024) as w", "384 as h",
         "size > 5000 as has_transparent",
     )

@@ -119,17 +119,18 @@ def validate_document(v):
 
 
 def text_images(v, channels: int):
-    data = F.encode("text", "UTF-8")
-    width = F.floor(F.length(data) / channels)
+    """Zero bytes fill the last pixel of a text."""
+    width = F.ceil(F.octet_length("text") / channels)
+    data = F.expr(f"rpad(encode(text, 'UTF-8'), cast(ceil(octet_length(text) / {channels}) * {channels} as int), X'00')")
     return v.table("documents").select(
         F.col("doc_id").alias("image_id"), F.lit(1).alias("h"), width.cast("int").alias("w"),
-        F.lit(channels).alias("n_channels"), F.substring(data, F.lit(1), (width * channels).cast("int")).alias("data"),
+        F.lit(channels).alias("n_channels"), data.alias("data"),
     )
 
 
 BYTES = """SELECT doc_id AS image_id, CAST(i // {n} AS BIGINT) AS x, i % {n} AS k, b FROM (
   SELECT doc_id, unnest(l) AS b, unnest(range(0, len(l))) AS i FROM (
-    SELECT doc_id, list_transform(regexp_extract_all(h, '..')[1:length(h) // (2 * {n}) * {n}], lambda p: CAST('0x' || p AS BIGINT)) AS l
+    SELECT doc_id, list_transform(regexp_extract_all(rpad(h, CAST(ceil(length(h) / (2.0 * {n})) * 2 * {n} AS INTEGER), '0'), '..'), lambda p: CAST('0x' || p AS BIGINT)) AS l
     FROM (SELECT doc_id, hex(encode(text)) AS h FROM documents)))"""
 
 

@@ -45,7 +45,7 @@ def _cc(source: str, rest: str) -> str:
 
 @query(
     "components",
-    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 10000000 + o_orderkey // 8 AS b FROM orders WHERE o_orderpriority = '1-URGENT'),
+    """WITH RECURSIVE e AS (SELECT o_custkey AS a, 10000000 + o_orderkey // 8 AS b FROM orders),
        s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
        cc(node, component) USING KEY (node) AS (
          SELECT DISTINCT a, a FROM s
@@ -54,7 +54,7 @@ def _cc(source: str, rest: str) -> str:
        SELECT node, component FROM cc""",
 )
 def components(v):
-    edges = v.table("orders").where("o_orderpriority = '1-URGENT'").selectExpr(
+    edges = v.table("orders").selectExpr(
         "o_custkey as src", "10000000 + o_orderkey div 8 as dst"
     )
     return graph_components(edges)
@@ -145,11 +145,11 @@ def trapped_ball_sequence(v):
 
 
 FILLS = """SELECT l_suppkey % 10 AS image_id, CAST(l_linenumber AS INTEGER) AS fill_id, CAST(l_partkey % 30 AS INTEGER) AS y, CAST(l_orderkey % 50 AS INTEGER) AS x
-           FROM lineitem WHERE l_returnflag = 'R'"""
+           FROM lineitem"""
 
 
 def _fills(v):
-    return v.table("lineitem").where("l_returnflag = 'R'").selectExpr(
+    return v.table("lineitem").selectExpr(
         "l_suppkey % 10 as image_id", "l_linenumber as fill_id", "cast(l_partkey % 30 as int) as y", "cast(l_orderkey % 50 as int) as x"
     )
 

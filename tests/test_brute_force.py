@@ -64,14 +64,19 @@ def greedy(points, d):
     return kept
 
 
-def test_dedupe_points_both_ways(spark):
+def test_dedupe_points(spark):
     rng = random.Random(2)
     points = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(200)})
     df = spark.createDataFrame([(1, *p) for p in points], "image_id long, y int, x int")
-    want = sorted(greedy(points, 4))
-    for small in (1000, 10):
-        got = R.dedupe_points(df, 4, small_image=small)
-        assert sorted((r.y, r.x) for r in got.collect()) == want
+    got = R.dedupe_points(df, 4)
+    assert sorted((r.y, r.x) for r in got.collect()) == sorted(greedy(points, 4))
+
+
+def test_dedupe_points_at_one_place(spark):
+    rows = [(1, 5, 5, "endpoint"), (1, 5, 5, "junction"), (1, 20, 20, "corner"), (1, 20, 20, "corner")]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, kind string")
+    got = R.dedupe_points(df, 3)
+    assert sorted((r.y, r.kind) for r in got.collect()) == [(5, "endpoint"), (20, "corner")]
 
 
 def test_spaced_sample(spark):
@@ -253,3 +258,16 @@ def test_hold_blocks_break_at_holes_and_ghosts(spark):
     )
     got = sorted((r.first_frame, r.last_frame, r.image_id) for r in TL.hold_blocks(df).collect())
     assert got == [(0, 1, "a"), (3, 3, "a"), (5, 6, "b")]
+
+
+def test_votes_at_low_temperature_and_all_masked(spark):
+    """Similarities of 1000 and references that are all masked."""
+    from flatcel.operators import matching as M
+
+    schema = "pair_id long, side string, seg_id int, features array<float>, color_id int"
+    ref = spark.createDataFrame([(1, "ref", 0, [1.0, 0.0], 5), (1, "ref", 1, [0.6, 0.8], 6), (2, "ref", 0, [1.0, 0.0], -100), (2, "ref", 1, [0.0, 1.0], -100)], schema)
+    tgt = spark.createDataFrame([(1, "tgt", 0, [-1.0, 0.0], 0), (2, "tgt", 0, [0.0, 1.0], 0)], schema)
+    votes = {(r.pair_id, r.color_id): r.vote for r in M.color_votes(ref, tgt, 0.001).collect()}
+    assert votes[1, 6] > 0.999 and votes[2, 0] == 1.0
+    weights = {r.pair_id: r.weights for r in M.masked_softmax(M.similarity(ref, tgt, 0.001), 0.001).collect()}
+    assert weights[1][1] > 0.999 and abs(sum(weights[2]) - 1) < 1e-9

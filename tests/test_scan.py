@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flatcel.operators import scan as SC
 from flatcel.operators.graph import components
-from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.operators.skew import hot_keys, join_unique, with_group_facts
 
 
 def test_scan_carries_over_buckets(spark):
@@ -76,3 +76,22 @@ def test_left_join_keeps_unmatched_rows_and_hot_keys(spark):
     out = join_unique(left, stats, ["k"], "n", hot_rows=10, how="left").collect()
     assert len(out) == 33
     assert {(r.k, r.v) for r in out} == {("hot", "H"), ("cold", "C"), ("none", None), (None, None)}
+
+
+def test_hot_keys_are_few(spark):
+    """One key holds a third of the rows, ten thousand keys hold the rest."""
+    stats = spark.range(10_000).selectExpr("id as k", "if(id = 7, 5000, 1) as n")
+    flagged = hot_keys(stats, "n").where("__hot").collect()
+    assert [r.k for r in flagged] == [7]
+    even = spark.range(10_000).selectExpr("id as k", "1000000 as n")
+    assert hot_keys(even, "n").where("__hot").count() == 0
+
+
+def test_rounds_leave_no_files(spark):
+    from flatcel import session
+
+    before = set(session._FOLDERS)
+    edges = spark.range(300).selectExpr("id as src", "id + 1 as dst")
+    out = components(edges)
+    assert out.where("component <> 0").count() == 0
+    assert len(set(session._FOLDERS) - before) == 1
