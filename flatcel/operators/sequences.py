@@ -348,11 +348,12 @@ def pack_pair(ref: DataFrame, tgt: DataFrame) -> DataFrame:
     )
 
 
-def scan_corpus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+def scan_corpus(files: DataFrame, ref_frame: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Reference and target frames of each corpus (corpus, name).
 
-    Names look like ``lineLayer1_f12_...``. The first color frame is the
-    reference and needs a line image too; all other line frames are targets.
+    Names look like ``lineLayer1_f12_...``. Frame ``ref_frame``, by default the
+    first color frame, is the reference and needs a line and a color image; all
+    other line frames are targets.
     Returns (corpus, frame_nr, role, line_name, color_name) and the corpora
     without a usable reference.
     """
@@ -368,11 +369,18 @@ def scan_corpus(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.max(F.when(is_line, F.col("name"))).alias("line_name"),
         F.max(F.when(~is_line, F.col("name"))).alias("color_name"),
     )
+    colored = F.col("color_name").isNotNull()
+    asked = colored if ref_frame is None else colored & (F.col("frame_nr") == ref_frame)
     first = by_number.groupBy("corpus").agg(
-        F.min(F.when(F.col("color_name").isNotNull(), F.struct("frame_nr", F.col("line_name").isNotNull().alias("ok")))).alias("r")
+        F.min(F.when(asked, F.struct("frame_nr", F.col("line_name").isNotNull().alias("ok")))).alias("r"),
+        F.bool_or(colored).alias("any_color"),
     )
     errors = first.where("r is null or not r.ok").select(
-        "corpus", F.when(F.col("r").isNull(), "NO_COLOR").otherwise("REFERENCE_WITHOUT_LINE").alias("error")
+        "corpus",
+        F.when(~F.col("any_color"), "NO_COLOR")
+        .when(F.col("r").isNull(), "REFERENCE_WITHOUT_COLOR")
+        .otherwise("REFERENCE_WITHOUT_LINE")
+        .alias("error"),
     )
     refs = first.where("r.ok").select("corpus", F.col("r.frame_nr").alias("__ref"))
     frames = by_number.join(refs, "corpus").where("line_name is not null").select(

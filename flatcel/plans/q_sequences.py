@@ -253,6 +253,17 @@ def scan_corpus(v):
     return Q.scan_corpus(_corpus(v))[0]
 
 
+@query(
+    "scan_corpus_at",
+    """SELECT corpus, frame_nr, CASE WHEN frame_nr = 5 THEN 'reference' ELSE 'target' END AS role, line_name,
+              CASE WHEN frame_nr = 5 THEN color_name END AS color_name
+       FROM corpusv c WHERE line_name IS NOT NULL AND EXISTS (SELECT 1 FROM corpusv d
+         WHERE d.corpus = c.corpus AND d.frame_nr = 5 AND d.line_name IS NOT NULL AND d.color_name IS NOT NULL)""",
+)
+def scan_corpus_at(v):
+    return Q.scan_corpus(_corpus(v), ref_frame=5)[0]
+
+
 @query(
     "scan_corpus_errors",
     """SELECT corpus, CASE WHEN min(ref_nr) IS NULL THEN 'NO_COLOR' ELSE 'REFERENCE_WITHOUT_LINE' END AS error FROM corpusv

@@ -67,3 +67,19 @@ def test_streamed_import(spark, tmp_path):
     )
     stream.awaitTermination(60)
     assert [r for b in sorted(saved) for r in saved[b]] == [(1, "a"), (2, "a"), (3, "c")]
+
+
+def test_reference_frame_of_a_corpus(spark):
+    from flatcel.operators.sequences import scan_corpus
+
+    names = ["lineLayer1_f1_.png", "colorLayer1_f1_.png", "lineLayer1_f2_.png", "colorLayer1_f2_.png", "lineLayer1_f3_.png"]
+    files = spark.createDataFrame([("a", n) for n in names] + [("b", names[2])], "corpus string, name string")
+    for ref, error in ((None, None), (2, None), (3, "REFERENCE_WITHOUT_COLOR"), (9, "REFERENCE_WITHOUT_COLOR")):
+        frames, errors = scan_corpus(files, ref)
+        roles = {r.frame_nr: r.role for r in frames.collect()}
+        assert {r.corpus: r.error for r in errors.collect()} == ({"b": "NO_COLOR"} | ({"a": error} if error else {}))
+        if error is None:
+            assert [n for n, role in sorted(roles.items()) if role == "reference"] == [ref or 1]
+            assert len(roles) == 3
+        else:
+            assert roles == {}
