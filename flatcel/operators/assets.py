@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from flatcel.functions.names import extension, frame_verdict, timeline_frame_nr, IMAGE_EXTENSIONS
-from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 
 
 def store_images(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -20,13 +20,10 @@ def store_images(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, D
     """
     hashed = incoming.select("seq", "image_id", F.md5("content").alias("hash"), "force_new")
     known = existing.where("hash is not null").groupBy("hash").agg(F.min("image_id").alias("__known"))
-    owned = (
-        with_group_facts(hashed, ["hash"], {"__first": F.min_by("image_id", "seq"), "__first_seq": F.min("seq")})
-        .join(known, "hash", "left")
-        .withColumn(
-            "owner",
-            F.when(F.col("force_new"), F.col("image_id")).otherwise(F.coalesce("__known", "__first")),
-        )
+    copies = hashed.groupBy("hash").agg(F.min_by("image_id", "seq").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    owner = copies.join(known, "hash", "left").select("hash", F.coalesce("__known", "__first").alias("__owner"), "__n")
+    owned = join_unique(hashed, owner, ["hash"], "__n").withColumn(
+        "owner", F.when(F.col("force_new"), F.col("image_id")).otherwise(F.col("__owner"))
     )
     assigned = owned.select("seq", F.col("owner").alias("image_id"))
     uses = owned.groupBy(F.col("owner").alias("image_id")).agg(
@@ -117,7 +114,7 @@ def importable(files: DataFrame) -> DataFrame:
 
 def dimension_mismatch(images: DataFrame, canvas: DataFrame) -> DataFrame:
     """Images that do not fit the canvas of their project."""
-    return images.join(canvas, "project_id").where(
+    return join_lookup(images, canvas, ["project_id"], "inner").where(
         (F.col("w") != F.col("canvas_w")) | (F.col("h") != F.col("canvas_h"))
     ).select(*images.columns)
 

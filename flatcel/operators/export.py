@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.functions.names import left_pad
+from flatcel.operators.skew import join_lookup
 from flatcel.operators.timeline import cel_at, frame_extent
 
 BLOCK = 65536
@@ -118,11 +119,7 @@ def distinct_renders(plan: DataFrame) -> DataFrame:
 def fan_out(plan: DataFrame, rendered: DataFrame) -> DataFrame:
     """Hand each finished render to all frames that show it."""
     keys = ["project_id", "line_id", "color_id", "pass"]
-    right = rendered.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in rendered.columns if c not in keys])
-    condition = F.col("project_id") == F.col("__project_id")
-    for k in keys[1:]:
-        condition = condition & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return plan.join(right, condition).drop(*[f"__{k}" for k in keys])
+    return join_lookup(plan, rendered.where("project_id is not null"), keys, "inner", null_safe=True)
 
 
 def composite(layers: DataFrame, keys: tuple[str, ...] = ("image_id", "y", "x")) -> DataFrame:

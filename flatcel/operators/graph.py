@@ -8,7 +8,7 @@ from flatcel.operators.skew import join_unique
 from flatcel.session import cut_lineage, drop_written
 
 
-def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int | None = None) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of (src, dst); the component is its
     smallest node. Works on any sortable node type.
 
@@ -28,20 +28,20 @@ def components(edges: DataFrame, max_rounds: int = 60, hot_rows: int | None = No
         smallest = both.groupBy("u").agg(F.min("v").alias("__m"), F.count(F.lit(1)).alias("__n")).withColumn(
             "__m", F.least("__m", "u")
         )
-        large = cut_lineage(
-            join_unique(both.where("v > u"), smallest, ["u"], "__n", hot_rows)
+        large = (
+            join_unique(both.where("v > u"), smallest, ["u"], "__n")
             .select(F.col("v").alias("u"), F.col("__m").alias("v"))
             .distinct()
         )
         smallest = large.groupBy("u").agg(F.min("v").alias("__m"), F.count(F.lit(1)).alias("__n"))
-        joined = join_unique(large, smallest, ["u"], "__n", hot_rows)
+        joined = join_unique(large, smallest, ["u"], "__n")
         small = (
             joined.select(F.explode(F.array("u", "v")).alias("u"), F.col("__m").alias("v"))
             .where("u <> v")
             .distinct()
         )
         before, links = links, cut_lineage(small)
-        drop_written(before, large)
+        drop_written(before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == now:
             break

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.functions.color import hex_channel, hex_to_u32, rgba_to_hex
 from flatcel.operators import scan as SC
+from flatcel.operators.skew import join_lookup
 from flatcel.session import cut_lineage
 
 
@@ -98,7 +99,7 @@ def recolor_pixels(pixels: DataFrame, composed: DataFrame) -> DataFrame:
     """Replace packed colors (alpha included in the match). ``pixels``:
     project_id, u32 and position columns."""
     table = composed.select("project_id", F.col("old_u32").alias("u32"), "new_u32")
-    return pixels.join(table, ["project_id", "u32"], "left").select(
+    return join_lookup(pixels, table, ["project_id", "u32"]).select(
         *[c for c in pixels.columns if c != "u32"], F.coalesce("new_u32", "u32").alias("u32")
     )
 
@@ -182,10 +183,16 @@ def palette_passes(pixels: DataFrame, swatches: DataFrame) -> DataFrame:
     pass. Pixels missing from a pass are transparent there, so the result has
     about as many rows as the image, not image times palette."""
     visible, opacity = _pass_state()
-    targets = swatches.where(visible & (opacity != 0)).select(
-        "project_id",
-        F.col("pos").alias("pass"),
-        *[hex_channel(F.col("hex"), i).alias(c) for i, c in enumerate("rgb")],
-        opacity.alias("__opacity"),
+    color = ["project_id", "r", "g", "b"]
+    targets = (
+        swatches.where(visible & (opacity != 0))
+        .select(
+            "project_id",
+            *[hex_channel(F.col("hex"), i).alias(c) for i, c in enumerate("rgb")],
+            F.struct(F.col("pos").alias("pass"), opacity.alias("a")).alias("__pass"),
+        )
+        .groupBy(*color)
+        .agg(F.collect_list("__pass").alias("__passes"))
     )
-    return pixels.drop("a").join(targets, ["project_id", "r", "g", "b"]).withColumnRenamed("__opacity", "a")
+    shown = join_lookup(pixels.drop("a"), targets, color, "inner")
+    return shown.select("*", F.inline("__passes")).drop("__passes")

@@ -44,7 +44,9 @@ def path_commands(paths: DataFrame) -> DataFrame:
 
     rows = parts.select("image_id", "path_id", "step", "part", "cmd", F.array(*[coordinate(i) for i in range(6)]).alias("pts"))
     return SC.numbered(
-        rows, ["image_id", "path_id"], ["step", "part"], [{"s": F.floor(F.col("step") / SC.BUCKET_ROWS)}], "cmd_idx"
+        rows, ["image_id", "path_id"], ["step", "part"],
+        [{"s": F.col("step"), "p": F.floor(F.col("part") / SC.BUCKET_ROWS)}, {"c": F.floor(F.col("__b_s") / SC.BUCKET_ROWS)}],
+        "cmd_idx",
     ).select("image_id", "path_id", F.col("cmd_idx").cast("int").alias("cmd_idx"), "cmd", "pts")
 
 

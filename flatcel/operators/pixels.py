@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flatcel.operators import scan as SC
-from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 from flatcel.operators.tiles import TILE, shifted, stencil
 from flatcel.session import cut_lineage
 
@@ -388,7 +388,7 @@ def quantize_colors(pixels: DataFrame, colors: int = 256, key: str = "project_id
     mapping = table.groupBy(key).applyInPandas(
         choose, f"{key} {key_type}, r int, g int, b int, qr int, qg int, qb int"
     )
-    return pixels.join(mapping, [key, "r", "g", "b"]).select(
+    return join_lookup(pixels, mapping, [key, "r", "g", "b"], "inner").select(
         *[c for c in pixels.columns if c not in "rgb"], *[F.col(f"q{c}").alias(c) for c in "rgb"]
     )
 

@@ -16,7 +16,7 @@ from flatcel.operators import scan as SC
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components
 from flatcel.operators.pixels import CROSS, ball, dilate, erode, extreme
-from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 from flatcel.session import cut_lineage
 
 PIXEL = ["image_id", "y", "x"]
@@ -533,7 +533,7 @@ def diff_regions(old: DataFrame, new: DataFrame, min_distance: int = 64, value:
     found = label_regions(changed, "v", tile, diagonal=True).groupBy("image_id", "region_y", "region_x").agg(
         F.min("y").alias("t"), F.max("y").alias("b"), F.min("x").alias("l"), F.max("x").alias("r")
     )
-    grown = found.join(sizes, "image_id").select(
+    grown = join_lookup(found, sizes, ["image_id"], "inner").select(
         "image_id",
         F.greatest(F.col("t") - min_distance, F.lit(0)).alias("y1"),
         F.greatest(F.col("l") - min_distance, F.lit(0)).alias("x1"),
@@ -640,6 +640,6 @@ def id_offset_map(original: DataFrame, resized: DataFrame) -> DataFrame:
 
 def apply_id_map(labels: DataFrame, id_map: DataFrame) -> DataFrame:
     """Relabel by an id map; pixels without a new id become -100."""
-    return labels.join(id_map, ["image_id", "label"], "left").select(
+    return join_lookup(labels, id_map, ["image_id", "label"]).select(
         *PIXEL, F.coalesce("new_id", F.lit(-100)).alias("label")
     )

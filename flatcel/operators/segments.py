@@ -11,8 +11,8 @@ from flatcel.functions.color import (
     dense_to_rgba,
     rgba_to_dense,
 )
-from flatcel.operators.scan import by_number, numbered
-from flatcel.operators.skew import join_unique
+from flatcel.operators.scan import BUCKET_ROWS, by_number, numbered
+from flatcel.operators.skew import join_lookup, join_unique
 
 PEAKINESS_THRESHOLD = 0.49
 RGB = 2**24  # number of colors without alpha
@@ -123,7 +123,7 @@ def build_palette(segments: DataFrame) -> DataFrame:
 
 def frame_color_ids(segments: DataFrame, palette: DataFrame) -> DataFrame:
     """Palette index of every segment; null-colored segments stay -100."""
-    return segments.join(palette, ["project_id", "color"]).select(
+    return join_lookup(segments, palette, ["project_id", "color"], "inner").select(
         "project_id",
         "frame_idx",
         "seg_id",
@@ -137,7 +137,8 @@ def build_palette_unique(segments: DataFrame) -> DataFrame:
     """One palette slot per segment; the id stored in the frame is the index
     inside that frame, not the slot number."""
     slots = numbered(
-        segments, ["project_id"], ["frame_idx", "seg_id"], by_number("frame_idx"), "slot"
+        segments, ["project_id"], ["frame_idx", "seg_id"],
+        [{"f": F.col("frame_idx"), "s": F.floor(F.col("seg_id") / BUCKET_ROWS)}], "slot",
     )
     return slots.select(
         "project_id",
@@ -157,7 +158,7 @@ def ids_to_colors(ids: DataFrame, palette: DataFrame, null_dense: int = NULL_COL
     An id pointing at a stored -1 color counts as null, as such entries mark
     colors that must never be predicted.
     """
-    looked_up = ids.join(palette, ["project_id", "color_id"], "left")
+    looked_up = join_lookup(ids, palette, ["project_id", "color_id"])
     is_null = F.col("color_id") == NULL_COLOR
     null_entry = is_null | (F.col("color") == -1)
     rgba = dense_to_rgba(F.col("color"))
@@ -198,7 +199,7 @@ def render_segments(
 def mask_new_colors(target: DataFrame, reference: DataFrame, key: str = "pair_id") -> DataFrame:
     """Target ids that the reference never shows become -100."""
     shown = reference.select(key, "color_id").distinct().withColumn("shown", F.lit(True))
-    return target.join(shown, [key, "color_id"], "left").select(
+    return join_lookup(target, shown, [key, "color_id"]).select(
         *[c for c in target.columns if c != "color_id"],
         F.when(F.col("shown"), F.col("color_id")).otherwise(F.lit(NULL_COLOR)).alias("color_id"),
     )

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from flatcel.functions.color import NULL_COLOR, rgba_to_dense
 from flatcel.operators import scan as SC
-from flatcel.operators.skew import with_group_facts
+from flatcel.operators.skew import join_lookup, with_group_facts
 from flatcel.session import cut_lineage
 
 KINDS = ("seg", "color", "line")
@@ -30,7 +30,8 @@ def align_frames(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     errors = counts.where("n < 2").select(
         "scene", F.when(F.col("n") == 0, "NO_SHARED_FRAMES").otherwise("ONE_SHARED_FRAME").alias("error")
     )
-    return shared.join(errors, "scene", "left_anti"), errors
+    bad = errors.select("scene", F.lit(True).alias("__bad"))
+    return join_lookup(shared, bad, ["scene"]).where("__bad is null").drop("__bad"), errors
 
 
 def filter_empty(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -383,7 +384,7 @@ def scan_corpus(files: DataFrame, ref_frame: int | None = None) -> tuple[DataFra
         .alias("error"),
     )
     refs = first.where("r.ok").select("corpus", F.col("r.frame_nr").alias("__ref"))
-    frames = by_number.join(refs, "corpus").where("line_name is not null").select(
+    frames = join_lookup(by_number, refs, ["corpus"], "inner").where("line_name is not null").select(
         "corpus",
         "frame_nr",
         F.when(F.col("frame_nr") == F.col("__ref"), "reference").otherwise("target").alias("role"),

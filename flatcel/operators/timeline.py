@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.operators import scan as SC
-from flatcel.operators.skew import join_unique, with_group_facts
+from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 from flatcel.session import cut_lineage
 
 LINE, COLOR = "lineLayer1", "colorLayer1"
@@ -209,7 +209,7 @@ def expand_selection(frames: DataFrame, clicks: DataFrame) -> DataFrame:
         .agg(F.min_by("is_selected", "seq").alias("__seen"), F.count(F.lit(1)).alias("__clicks"))
     )
     toggled = F.when(F.col("__clicks") % 2 == 1, ~F.col("__seen")).otherwise(F.col("__seen"))
-    return keyed.join(state, [*LAYER, "__group"], "left").select(
+    return join_lookup(keyed, state, [*LAYER, "__group"]).select(
         *[c for c in frames.columns if c != "is_selected"],
         F.coalesce(toggled, F.col("is_selected")).alias("is_selected"),
     )
@@ -396,7 +396,8 @@ def plan_colorize(matched: DataFrame, frames: DataFrame, analyze: bool = False)
         "error",
         "error_frame",
     )
-    fine = checked.join(errors.select("project_id"), "project_id", "left_anti").select(
+    failed = errors.select("project_id", F.lit(True).alias("__failed"))
+    fine = join_lookup(checked, failed, ["project_id"]).where("__failed is null").select(
         "project_id", "frame_nr", "is_original", "ref_nr", "ord",
         F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("error_frame"),
     )
@@ -435,10 +436,9 @@ def derive_cels(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFr
     ``images``: image_id, has_bytes; ids without bytes count as absent."""
     real = images.where("has_bytes").select("image_id", F.lit(True).alias("__bytes"))
     flags = frames.where(F.col("layer") == COLOR).select("project_id", "frame_nr", "is_original")
+    with_line = join_lookup(cel_at(frames), real.withColumnsRenamed({"image_id": "line_id", "__bytes": "__lb"}), ["line_id"])
     cels = (
-        cel_at(frames)
-        .join(real.withColumnRenamed("image_id", "line_id").withColumnRenamed("__bytes", "__lb"), "line_id", "left")
-        .join(real.withColumnRenamed("image_id", "color_id").withColumnRenamed("__bytes", "__cb"), "color_id", "left")
+        join_lookup(with_line, real.withColumnsRenamed({"image_id": "color_id", "__bytes": "__cb"}), ["color_id"])
         .join(flags, ["project_id", "frame_nr"], "left")
         .select(
             "project_id",
@@ -499,7 +499,7 @@ def delete_frames(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, Data
         (F.col("has_bytes") & F.col("__gone").isNull()).alias("has_bytes"),
     )
     stored = images_after.where("has_bytes").select("image_id", F.lit(True).alias("__stored"))
-    rows = frames.join(stored, "image_id", "left")
+    rows = join_lookup(frames, stored, ["image_id"])
     numbers = rows.groupBy("project_id", "frame_nr").agg(
         F.max("is_selected").alias("__hit"), F.max(F.coalesce("__stored", F.lit(False))).alias("__kept")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flatcel.operators import scan as SC
 from flatcel.operators.graph import components
-from flatcel.operators.skew import hot_keys, join_unique, with_group_facts
+from flatcel.operators.skew import hot_limit, join_lookup, join_unique, largest_keys, with_group_facts
 
 
 def test_scan_carries_over_buckets(spark):
@@ -45,7 +45,7 @@ def test_scan_carries_over_buckets(spark):
 
 def test_group_facts_with_hot_and_null_keys(spark):
     df = spark.createDataFrame([(k, i) for k, n in ((None, 5), ("hot", 50), ("c", 2)) for i in range(n)], "k string, i int")
-    out = with_group_facts(df, ["k"], {"low": F.min("i"), "n": F.count("*")}, hot_rows=10)
+    out = with_group_facts(df, ["k"], {"low": F.min("i"), "n": F.count("*")})
     assert sorted((str(r.k), r.n) for r in out.select("k", "n").distinct().collect()) == [("None", 5), ("c", 2), ("hot", 50)]
     assert out.count() == 57
 
@@ -67,24 +67,34 @@ def test_components_equal_union_find(spark):
             parent[max(ra, rb)] = min(ra, rb)
     want = {n: find(n) for n in list(parent)}
     df = spark.createDataFrame(edges, "src long, dst long")
-    assert {r.node: r.component for r in components(df, hot_rows=5).collect()} == want
+    assert {r.node: r.component for r in components(df).collect()} == want
 
 
 def test_left_join_keeps_unmatched_rows_and_hot_keys(spark):
-    left = spark.createDataFrame([("hot", i) for i in range(30)] + [("cold", 1), ("none", 2), (None, 3)], "k string, i int")
-    stats = spark.createDataFrame([("hot", 30, "H"), ("cold", 1, "C")], "k string, n int, v string")
-    out = join_unique(left, stats, ["k"], "n", hot_rows=10, how="left").collect()
-    assert len(out) == 33
-    assert {(r.k, r.v) for r in out} == {("hot", "H"), ("cold", "C"), ("none", None), (None, None)}
+    """One key holds a third of the rows; more keys than are served by broadcast hold the rest."""
+    keys = ["hot"] * 60 + [f"k{i}" for i in range(120)] + [None, None]
+    left = spark.createDataFrame(list(zip(keys, range(len(keys)))), "k string, i int")
+    known = {"hot": "H"} | {f"k{i}": f"v{i}" for i in range(0, 120, 2)}
+    table = spark.createDataFrame([(k, 60 if k == "hot" else 1, v) for k, v in known.items()] + [(None, 2, "N")], "k string, n int, v string")
+    want = sorted((i, k, known.get(k, "N" if k is None else None)) for i, k in enumerate(keys))
+    assert hot_limit(left) < 60
+    assert sorted((r.i, r.k, r.v) for r in join_unique(left, table, ["k"], "n", "left").collect()) == want
+    plain = table.drop("n")
+    assert sorted((r.i, r.k, r.v) for r in join_lookup(left, plain, ["k"], null_safe=True).collect()) == want
+    matched = [w for w in want if w[2] is not None]
+    assert sorted((r.i, r.k, r.v) for r in join_unique(left, table, ["k"], "n").collect()) == matched
+    no_null = [(i, k, v if k else None) for i, k, v in want]
+    assert sorted((r.i, r.k, r.v) for r in join_lookup(left, plain, ["k"]).collect()) == no_null
+    inner = join_lookup(left, plain, ["k"], "inner")
+    assert inner.columns == ["k", "i", "v"]
+    assert sorted((r.i, r.k, r.v) for r in inner.collect()) == [w for w in no_null if w[2]]
 
 
 def test_hot_keys_are_few(spark):
-    """One key holds a third of the rows, ten thousand keys hold the rest."""
-    stats = spark.range(10_000).selectExpr("id as k", "if(id = 7, 5000, 1) as n")
-    flagged = hot_keys(stats, "n").where("__hot").collect()
-    assert [r.k for r in flagged] == [7]
-    even = spark.range(10_000).selectExpr("id as k", "1000000 as n")
-    assert hot_keys(even, "n").where("__hot").count() == 0
+    """However many keys there are, a constant number of them is broadcast, the largest first."""
+    stats = spark.range(10_000).selectExpr("id as k", "if(id = 7, 5000000, 1000001) as n")
+    few = [r.k for r in largest_keys(stats, ["k"], "n").collect()]
+    assert few[0] == 7 and len(few) == hot_limit(stats)
 
 
 def test_rounds_leave_no_files(spark):
