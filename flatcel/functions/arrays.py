@@ -75,3 +75,13 @@ def confidence(logits: Column, n: Column) -> Column:
 
     head = doubles(F.slice(logits, F.lit(1), F.greatest(n, F.lit(1))))
     return F.when(n <= 1, F.lit(1.0)).otherwise(1.0 - let(head, entropy) / F.log(n.cast("double")))
+
+
+def seeded_text(seed: int, *parts: Column | str) -> Column:
+    """Seeded hash of the parts as 32 hex digits: an order at random, the same in any engine."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *[p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") for p in parts]))
+
+
+def seeded_number(seed: int, *parts: Column | str) -> Column:
+    """The first 32 bits of ``seeded_text``."""
+    return F.conv(F.substring(seeded_text(seed, *parts), 1, 8), 16, 10).cast("long")

@@ -1,7 +1,7 @@
 """Differences between table snapshots, as patches.
 
 A snapshot is a table of leaves: doc_id, path (array of text; an array index is
-written ``[3]``) and value (text). Patches have doc_id, op (set, delete,
+written ``[3]``) and value (text). Patches have doc_id, op (set, setNull, delete,
 setLength), path, value, length. Ops are per leaf.
 """
 
@@ -24,9 +24,13 @@ def _lengths(leaves: DataFrame) -> DataFrame:
 
 
 def diff_tables(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(undo, redo) patches between two snapshots. A leaf missing on one side is
-    deleted from objects; in arrays its slot is set to null and the array length
-    is set. NaN equals NaN, as values are compared as text."""
+    """(undo, redo) patches between two snapshots.
+
+    A leaf with a null value is a leaf; only one without a row is missing. Empty
+    arrays and objects are leaves with the text ``[]`` or ``{}``. A leaf missing on
+    one side is deleted from objects; in arrays its slot is emptied (set without a
+    value) and the array length is set; a null leaf is put there by setNull. NaN
+    equals NaN, as values are compared as text."""
     a = before.select("doc_id", "path", F.col("value").alias("__a"), F.lit(True).alias("__in_a"))
     b = after.select("doc_id", "path", F.col("value").alias("__b"), F.lit(True).alias("__in_b"))
     both = a.join(b, ["doc_id", "path"], "full").where(
@@ -40,7 +44,10 @@ def diff_tables(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFra
         gone = F.col(present).isNull()
         changes = both.select(
             "doc_id",
-            F.when(gone & ~in_array, "delete").otherwise("set").alias("op"),
+            F.when(gone & ~in_array, "delete")
+            .when(~gone & F.col(value).isNull(), "setNull")
+            .otherwise("set")
+            .alias("op"),
             "path",
             F.col(value).alias("value"),
             F.lit(None).cast("int").alias("length"),
@@ -56,11 +63,11 @@ def diff_tables(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def apply_patch(leaves: DataFrame, patch: DataFrame) -> DataFrame:
-    """Snapshot after a patch: touched leaves are replaced or dropped, array
-    elements from the new length on are dropped."""
-    touched = patch.where("op in ('set', 'delete')").select("doc_id", "path")
+    """Snapshot after a patch: touched leaves are replaced (by null too) or dropped,
+    array elements from the new length on are dropped."""
+    touched = patch.where("op in ('set', 'setNull', 'delete')").select("doc_id", "path")
     kept = leaves.join(touched, ["doc_id", "path"], "left_anti")
-    placed = patch.where("op = 'set' and value is not null").select("doc_id", "path", "value")
+    placed = patch.where("op = 'set' and value is not null or op = 'setNull'").select("doc_id", "path", "value")
     rows = kept.unionByName(placed).withColumns(
         {"__parent": F.slice("path", F.lit(1), F.size("path") - 1), "__i": _index(F.element_at("path", -1))}
     )

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from flatcel.functions.arrays import seeded_number, seeded_text
 from flatcel.operators import scan as SC
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components
@@ -380,7 +381,7 @@ def compute_seg(
 
 def color_regions(labels: DataFrame, seed: int, black_zero: bool = True) -> DataFrame:
     """Seeded random color of each label, for viewing."""
-    byte = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "label"), F.lit(255)).cast("int") for k in range(3)]
+    byte = [(seeded_number(seed, F.lit(k), "label") % 255).cast("int") for k in range(3)]
     dark = (F.col("label") == 0) & F.lit(black_zero)
     return labels.select(
         *labels.columns, *[F.when(dark, 0).otherwise(b).alias(c) for b, c in zip(byte, "rgb")]
@@ -591,7 +592,7 @@ def spaced_sample(points: DataFrame, num_points: int, distance: int, seed: int)
     ``distance``; the order of choice is a seeded hash."""
     from pyspark.sql import Window
 
-    mixed = points.withColumn("__h", F.xxhash64(F.lit(seed), "image_id", "y", "x"))
+    mixed = points.withColumn("__h", seeded_text(seed, "image_id", "y", "x"))
     spaced = dedupe_points(mixed, distance, ("__h",)) if distance > 0 else mixed
     counts = points.groupBy("image_id").agg((F.count(F.lit(1)) <= num_points).alias("__all"))
     # Few points need no spacing; a row_number limit is cut below the shuffle.

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from flatcel.functions.arrays import seeded_number, seeded_text
 from flatcel.functions.color import NULL_COLOR, rgba_to_dense
 from flatcel.operators import scan as SC
 from flatcel.operators.skew import join_lookup, with_group_facts
@@ -129,7 +130,7 @@ def sample_subsequences(
     for n in sizes:
         some = frame_combos(sized, n, dist)
         combos = some if combos is None else combos.unionByName(some)
-    order = F.xxhash64(F.lit(seed), "frames")
+    order = seeded_text(seed, F.array_join("frames", ","))
     ranked = combos.withColumn(
         "__rank", F.row_number().over(Window.partitionBy("project_id").orderBy(order, "frames"))
     )
@@ -149,7 +150,7 @@ def sample_subsequences(
             "project_id", "__n", F.explode(F.sequence(F.lit(1), min_subseqs - F.col("__n"))).alias("__j")
         ).select(
             "project_id",
-            (F.pmod(F.xxhash64(F.lit(seed + 1), "project_id", "__j"), F.col("__n")) + 1).cast("int").alias("__rank"),
+            (seeded_number(seed + 1, "project_id", "__j") % F.col("__n") + 1).cast("int").alias("__rank"),
         )
         extra = picks.join(short.drop("__n"), ["project_id", "__rank"]).select("project_id", "frames")
         out = kept.unionByName(extra)
@@ -158,7 +159,7 @@ def sample_subsequences(
 
 def random_palette(palette: DataFrame, seed: int) -> DataFrame:
     """Palette with seeded random opaque colors."""
-    byte = [F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "project_id", "color_id"), F.lit(256)) for k in range(3)]
+    byte = [seeded_number(seed, F.lit(k), "project_id", "color_id") % 256 for k in range(3)]
     return palette.withColumn("color", rgba_to_dense(*byte, F.lit(255)))
 
 

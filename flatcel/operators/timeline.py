@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.operators import scan as SC
 from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
-from flatcel.session import cut_lineage
+from flatcel.session import cut_lineage, drop_written
 
 LINE, COLOR = "lineLayer1", "colorLayer1"
 LAYER = ["project_id", "layer"]
@@ -436,8 +436,9 @@ def derive_cels(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFr
     ``images``: image_id, has_bytes; ids without bytes count as absent."""
     real = images.where("has_bytes").select("image_id", F.lit(True).alias("__bytes"))
     flags = frames.where(F.col("layer") == COLOR).select("project_id", "frame_nr", "is_original")
-    with_line = join_lookup(cel_at(frames), real.withColumnsRenamed({"image_id": "line_id", "__bytes": "__lb"}), ["line_id"])
-    cels = (
+    placed = cut_lineage(cel_at(frames))
+    with_line = join_lookup(placed, real.withColumnsRenamed({"image_id": "line_id", "__bytes": "__lb"}), ["line_id"])
+    cels = cut_lineage(
         join_lookup(with_line, real.withColumnsRenamed({"image_id": "color_id", "__bytes": "__cb"}), ["color_id"])
         .join(flags, ["project_id", "frame_nr"], "left")
         .select(
@@ -448,6 +449,7 @@ def derive_cels(frames: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFr
             "is_original",
         )
     )
+    drop_written(placed)
     pairs = cels.groupBy("project_id", "line_id", "color_id").agg(
         F.count(F.lit(1)).alias("__n"),
         F.min("frame_nr").alias("first_frame"),

@@ -218,6 +218,72 @@ def apply_patch_undo(v):
     return D.apply_patch(after, D.diff_tables(before, after)[0])
 
 
+# Null leaves, empty containers and changes of shape, spread over the customers.
+_SHAPES = {
+    "before": [
+        ("'note'", "if(c_nationkey % 3 = 0, null, c_name)", "c_nationkey % 4 <> 1"),
+        ("'meta'", "'{}'", "c_nationkey % 2 = 0"),
+        ("'meta', 'k'", "c_mktsegment", "c_nationkey % 2 = 1"),
+        ("'tags', '[0]'", "c_mktsegment", "true"),
+        ("'tags', '[1]'", "'[]'", "c_nationkey % 5 <> 2"),
+        ("'tags', '[1]', 'k'", "c_name", "c_nationkey % 5 = 2"),
+        ("'list'", "'[]'", "c_nationkey % 7 = 0"),
+        ("'list', '[0]'", "null", "c_nationkey % 7 <> 0"),
+        ("'list', '[1]'", "c_name", "c_nationkey % 7 = 1"),
+    ],
+    "after": [
+        ("'note'", "if(c_nationkey % 2 = 0, null, c_name)", "c_nationkey % 4 <> 2"),
+        ("'meta'", "'{}'", "c_nationkey % 3 = 0"),
+        ("'meta', 'k'", "null", "c_nationkey % 3 <> 0"),
+        ("'tags', '[0]'", "null", "true"),
+        ("'tags', '[1]'", "'[]'", "c_nationkey % 3 <> 2"),
+        ("'tags', '[1]', 'k'", "c_name", "c_nationkey % 3 = 2"),
+        ("'list'", "'[]'", "c_nationkey % 5 = 0"),
+        ("'list', '[0]'", "c_mktsegment", "c_nationkey % 5 <> 0"),
+        ("'list', '[1]'", "c_name", "c_nationkey % 5 = 1"),
+    ],
+}
+
+
+def _shapes_sql(before: bool) -> str:
+    note, meta, tags, items = (3, "c_nationkey % 2 = 0", "c_nationkey % 5 <> 2", 7) if before else (2, "c_nationkey % 3 = 0", "c_nationkey % 3 <> 2", 5)
+    return f"""
+  SELECT c_custkey AS doc_id, ['note'] AS path, CASE WHEN c_nationkey % {note} <> 0 THEN c_name END AS value FROM customer
+    WHERE c_nationkey % 4 <> {1 if before else 2}
+  UNION ALL SELECT c_custkey, ['meta'], '{{}}' FROM customer WHERE {meta}
+  UNION ALL SELECT c_custkey, ['meta', 'k'], {"c_mktsegment" if before else "NULL"} FROM customer WHERE NOT ({meta})
+  UNION ALL SELECT c_custkey, ['tags', '[0]'], {"c_mktsegment" if before else "NULL"} FROM customer
+  UNION ALL SELECT c_custkey, ['tags', '[1]'], '[]' FROM customer WHERE {tags}
+  UNION ALL SELECT c_custkey, ['tags', '[1]', 'k'], c_name FROM customer WHERE NOT ({tags})
+  UNION ALL SELECT c_custkey, ['list'], '[]' FROM customer WHERE c_nationkey % {items} = 0
+  UNION ALL SELECT c_custkey, ['list', '[0]'], {"NULL" if before else "c_mktsegment"} FROM customer WHERE c_nationkey % {items} <> 0
+  UNION ALL SELECT c_custkey, ['list', '[1]'], c_name FROM customer WHERE c_nationkey % {items} = 1"""
+
+
+def _shapes(v):
+    def leaves(side: str):
+        made = [
+            F.struct(F.expr(f"array({p})").alias("path"), F.expr(x).cast("string").alias("value"), F.expr(k).alias("kept"))
+            for p, x, k in _SHAPES[side]
+        ]
+        rows = v.table("customer").select(F.col("c_custkey").alias("doc_id"), F.explode(F.array(*made)).alias("leaf"))
+        return rows.where("leaf.kept").select("doc_id", "leaf.path", "leaf.value")
+
+    return leaves("before"), leaves("after")
+
+
+@query("apply_patch_redo_shapes", _shapes_sql(False))
+def apply_patch_redo_shapes(v):
+    before, after = _shapes(v)
+    return D.apply_patch(before, D.diff_tables(before, after)[1])
+
+
+@query("apply_patch_undo_shapes", _shapes_sql(True))
+def apply_patch_undo_shapes(v):
+    before, after = _shapes(v)
+    return D.apply_patch(after, D.diff_tables(before, after)[0])
+
+
 # --- vector paths -----------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from flatcel.operators import export as E
 from flatcel.operators import palette as P
 from flatcel.plans.adapters import VIEW_SQL
 from flatcel.plans.registry import query
+from flatcel.session import cut_lineage
 
 
 def _u32(hex_, alpha):
@@ -273,7 +274,8 @@ def distinct_renders(v):
        FROM xplan WHERE error IS NULL""",
 )
 def fan_out_renders(v):
-    plan = _plan(v).where("error is null").drop("error")
+    # The plan is written before the renders are made from it.
+    plan = cut_lineage(_plan(v).where("error is null").drop("error"))
     return E.fan_out(plan, E.distinct_renders(plan).drop("num_frames"))
 
 

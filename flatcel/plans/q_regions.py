@@ -139,6 +139,12 @@ def trapped_ball(v):
     return R.trapped_ball(im255(v), 1, tile=T)
 
 
+@query("compute_seg")
+def compute_seg(v):
+    """The whole segmentation of a line drawing, up to labels without gaps."""
+    return R.compute_seg(im255(v), tile=T)
+
+
 @query("trapped_ball_sequence")
 def trapped_ball_sequence(v):
     return R.trapped_ball_sequence(im255(v), (2, 1), tile=T)
@@ -172,7 +178,13 @@ def mark_filled(v):
     return R.mark_filled(v.mask, _fills(v))
 
 
-@query("color_regions")
+BYTE = "CASE WHEN label = 0 THEN 0 ELSE CAST(CAST('0x' || substr(md5('3:{k}:' || label), 1, 8) AS BIGINT) % 255 AS INTEGER) END"
+
+
+@query(
+    "color_regions",
+    f"SELECT image_id, y, x, label, {BYTE.format(k=0)} AS r, {BYTE.format(k=1)} AS g, {BYTE.format(k=2)} AS b FROM lab",
+)
 def color_regions(v):
     return R.color_regions(lab(v), seed=3)
 
@@ -279,12 +291,27 @@ def merge_boxes(v):
     return R.merge_boxes(boxes(v))
 
 
-@query("dedupe_points")
+def _walk(order: str, distance: int) -> str:
+    """Points of each image in ``order``, kept one by one."""
+    return f"""SELECT image_id, list_reduce(list(DISTINCT [{{'o': {order}, 'y': y, 'x': x}}] ORDER BY [{{'o': {order}, 'y': y, 'x': x}}]),
+        lambda kept, p: CASE WHEN len(list_filter(kept, lambda q: (q.y - p[1].y) * (q.y - p[1].y) + (q.x - p[1].x) * (q.x - p[1].x) <= {distance * distance})) > 0
+                             THEN kept ELSE kept || p END) AS kept, count(*) AS n FROM pts GROUP BY image_id"""
+
+
+@query("dedupe_points", f"SELECT image_id, p.y AS y, p.x AS x FROM (SELECT image_id, unnest(kept) AS p FROM ({_walk('y', 3)}))")
 def dedupe_points(v):
     return R.dedupe_points(v.pts, 3)
 
 
-@query("spaced_sample")
+RANDOM = "md5('4:' || image_id || ':' || y || ':' || x)"
+
+
+@query(
+    "spaced_sample",
+    f"""WITH w AS ({_walk(RANDOM, 8)})
+        SELECT image_id, p.y AS y, p.x AS x FROM (SELECT image_id, unnest(kept[:50]) AS p FROM w WHERE n > 50)
+        UNION ALL SELECT image_id, y, x FROM pts WHERE image_id IN (SELECT image_id FROM w WHERE n <= 50)""",
+)
 def spaced_sample(v):
     return R.spaced_sample(v.pts, 50, 8, seed=4)
 

@@ -123,12 +123,30 @@ def sample_subsequences(v):
     return picked.groupBy("project_id").agg(F.count("*").alias("num_subseqs"))
 
 
-@query("subsequence_rows")
+# With lengths 1 to 3 no sequence has fewer than min_subseqs tuples.
+@query(
+    "subsequence_rows",
+    """WITH s AS (SELECT project_id, frame_idx AS f, CASE WHEN count(*) OVER w < 5 THEN 10000 ELSE 2 END AS d, count(*) OVER w AS n
+                  FROM seqs WINDOW w AS (PARTITION BY project_id)),
+       c AS (SELECT project_id, [f] AS frames FROM s WHERE n >= 3
+             UNION ALL SELECT a.project_id, [a.f, b.f] FROM s a JOIN s b ON a.project_id = b.project_id AND a.f <> b.f AND abs(a.f - b.f) <= a.d WHERE a.n >= 3
+             UNION ALL SELECT a.project_id, [a.f, b.f, c.f] FROM s a JOIN s b ON a.project_id = b.project_id AND a.f <> b.f AND abs(a.f - b.f) <= a.d
+               JOIN s c ON a.project_id = c.project_id AND a.f <> c.f AND b.f <> c.f AND abs(a.f - c.f) <= a.d AND abs(b.f - c.f) <= a.d WHERE a.n >= 3)
+       SELECT project_id, frames FROM c
+       QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY md5('7:' || array_to_string(frames, ',')), frames) <= 20""",
+)
 def subsequence_rows(v):
     return Q.sample_subsequences(v.seqs, 3, 2, max_subseqs=20, min_subseqs=4, seed=7)
 
 
-@query("random_palette")
+BYTE = "CAST('0x' || substr(md5('11:{k}:' || project_id || ':' || pos), 1, 8) AS BIGINT) % 256"
+
+
+@query(
+    "random_palette",
+    f"""SELECT project_id, pos AS color_id, {BYTE.format(k=0)} + {BYTE.format(k=1)} * 256 + {BYTE.format(k=2)} * 65536 + 255 * 16777216::BIGINT AS color
+        FROM swatches""",
+)
 def random_palette(v):
     palette = v.swatches.select("project_id", F.col("pos").alias("color_id"))
     return Q.random_palette(palette, seed=11)
