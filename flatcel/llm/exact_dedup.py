@@ -270,7 +270,15 @@ def exact_dedup(
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns, once each."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(
-        [id_col, text_col]
+    owners = text_owners(docs, id_col, text_col).select(
+        F.col("text_hash").alias("__hash"), F.col("keep_id").alias("__kept"), F.col("keep_chars").alias("__chars")
     )
+    text = F.coalesce(text_col, F.lit(""))
+    # The bytes that count, as in normalised().
+    digest = F.unhex(F.sha2(F.translate(text, WHITESPACE.decode(), "").cast("binary"), 256))
+    owned = (
+        (digest == F.col("__hash"))
+        & F.col(id_col).eqNullSafe(F.col("__kept"))
+        & (F.char_length(text) == F.col("__chars"))
+    )
+    return docs.join(owners, owned, "left_semi").dropDuplicates([id_col, text_col])

@@ -68,6 +68,14 @@ def test_exact_null_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in X.drop_exact_copies(docs).collect()) == [(0, "q"), (1, "a")]
 
 
+
+def test_drop_exact_shared_ids(spark):
+    """A copy goes even if its id is null or repeated and kept for another text."""
+    rows = [(7, "b"), (None, "b"), (None, "q"), (3, "x y"), (7, "x\x0by"), (8, None), (9, " \n"), (9, "w"), (7, "w"), (4, "pq"), (4, "p q")]
+    left = X.drop_exact_copies(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "q"), (3, "x y"), (4, "p q"), (7, "b"), (7, "w"), (9, " \n")]
+
+
 def test_trie_terminals():
     trie = X.PatriciaTrie()
     keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abc" * 50, b"abc" * 49 + b"x"]
