@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from flatcel.llm import (
     decontam,
     exact_dedup,
+    lexical_search,
+    license_scan,
     mixing,
     pii,
     quality,
@@ -17,6 +20,7 @@ from flatcel.llm import (
     suffix_dedup,
     toxicity,
     url_filter,
+    whitening,
 )
 from flatcel.llm.common import crc_remainder, table
 
@@ -100,6 +104,21 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_exact_dedup"] = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents)
@@ -203,3 +222,66 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
        sha256(coalesce(i.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
+
+_TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op11_lexical_search"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+q AS (SELECT r, item_id, t, count(*) AS reps FROM
+      (SELECT r, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS r, item_id, {_TERMS} AS w FROM benchmark)) GROUP BY ALL),
+a AS (SELECT count(*) FILTER (len(w) > 0) AS nn, sum(len(w))::BIGINT AS ll FROM d),
+p AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d)
+      WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS wt FROM p, a GROUP BY t, nn),
+s AS (SELECT q.r AS qr, item_id, p.r, doc_id,
+        sum(reps * wt * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nn) // ll))))::BIGINT AS score
+      FROM p JOIN q USING (t) JOIN f USING (t), a GROUP BY q.r, item_id, p.r, doc_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
+def _wording(template: str) -> str:
+    """A template as a pattern over words that each follow a space."""
+    out = []
+    for part in re.findall(r"<<.*?>>|[^<\s]+", template):
+        mark = part.strip("<>").split()
+        if part == "<<opt>>":
+            out.append("(?:")
+        elif part == "<</opt>>":
+            out.append(")?")
+        elif part.startswith("<<var"):
+            out.append(f"(?: [^ ]+){{{mark[1]},{mark[2]}}}")
+        elif part.startswith("<<one"):
+            out.append(" (?:" + "|".join(mark[2:]) + ")")
+        else:
+            out.append(" " + part)
+    return "".join(out) + " "
+
+
+def _evidence(template: str) -> str:
+    """m / (m + 4), m the words outside of optional and replaceable regions."""
+    bare = re.sub(r"<<var[^>]*>>", "", template)
+    while "<<opt>>" in bare:
+        bare = re.sub(r"<<opt>>(?:(?!<<opt>>).)*?<</opt>>", "", bare, count=1, flags=re.S)
+    m = len(re.sub(r"<<one[^>]*>>", "x", bare).split())
+    return f"{m}::DOUBLE / {m + 4}"
+
+
+_PLACES = " || ".join(
+    f"""list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i:i + {len(words.split()) - 1}] = {words.split()!r}), lambda i: i - 1)"""
+    for words in license_scan.BASE.values()
+)
+_FOUND = ", ".join(
+    f"CASE WHEN regexp_matches(s, '{_wording(t)}') THEN {{'l': '{n}', 'e': {_evidence(t)}, 'b': {n in license_scan.BASE}}} END"
+    for n, t in (license_scan.BASE | license_scan.TEMPLATES).items()
+)
+ORACLES["op13_license_scan"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+p AS (SELECT doc_id, w, {_PLACES} AS places, ' ' || array_to_string(w, ' ') || ' ' AS s FROM d),
+f AS (SELECT *, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS found FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  array_to_string(list_sort(list_transform(list_filter(found, lambda x: x.b), lambda x: x.l)), ',') AS base_labels,
+  array_to_string(list_sort(list_transform(found, lambda x: x.l)), ',') AS labels,
+  coalesce(list_max(list_transform(found, lambda x: x.e)), 0.0)::DOUBLE AS score
+FROM f
+"""
