@@ -16,9 +16,9 @@ from flatcel.functions.arrays import seeded_number, seeded_text
 from flatcel.operators import scan as SC
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components
-from flatcel.operators.pixels import CROSS, ball, dilate, erode, extreme
+from flatcel.operators.pixels import CROSS
 from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
-from flatcel.session import cut_lineage
+from flatcel.session import cut_lineage, drop_written
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -179,73 +179,6 @@ def region_adjacency(labels: DataFrame, tile: int = TI.TILE) -> DataFrame:
     )
 
 
-def merge_small(labels: DataFrame, min_seg_size: int = 20, max_iter: int = 10, tile: int = TI.TILE) -> DataFrame:
-    """Merge small regions into the smallest touching label.
-
-    Label 0 is line. Per round: single pixels, regions under 250 pixels with one
-    neighbor, and regions under ten times ``min_seg_size`` take the smallest
-    label they touch; one that touches nothing becomes line below
-    ``min_seg_size``. All regions of a round decide on the same state; of two
-    that choose each other the larger label stays. The pixels are read once:
-    rounds run on the small tables of areas and contacts.
-    """
-    labels = cut_lineage(labels)
-    areas = cut_lineage(labels.groupBy("image_id", "label").agg(F.count(F.lit(1)).alias("area")))
-    contacts = cut_lineage(
-        region_adjacency(labels, tile).where("label <> 0 and other <> 0").select("image_id", "label", "other").distinct()
-    )
-    mapping = areas.select("image_id", "label", F.col("label").alias("new"), F.col("area").alias("__n"))
-    for _ in range(max_iter):
-        touch = contacts.groupBy("image_id", "label").agg(
-            F.min("other").alias("smallest"), F.count(F.lit(1)).alias("touching")
-        )
-        n, area = F.coalesce("touching", F.lit(0)), F.col("area")
-        target = F.when(n > 0, F.col("smallest")).when(area < min_seg_size, 0).otherwise(F.col("label"))
-        small = (area == 1) | ((area < 250) & (n == 1)) | (area < 10 * min_seg_size)
-        moves = (
-            areas.where("label <> 0")
-            .join(touch, ["image_id", "label"], "left")
-            .select("image_id", "label", F.when(small, target).otherwise(F.col("label")).alias("to"))
-        )
-        back = moves.select("image_id", F.col("label").alias("to"), F.col("to").alias("__back"))
-        mutual = F.coalesce(F.col("__back") == F.col("label"), F.lit(False)) & (F.col("to") < F.col("label"))
-        moves = cut_lineage(
-            moves.join(back, ["image_id", "to"], "left")
-            .select("image_id", "label", F.when(mutual, F.col("label")).otherwise(F.col("to")).alias("to"))
-            .where("label <> to")
-        )
-        if moves.isEmpty():
-            break
-        # Moves may chain (a to b, b to c in one round): a holds b's old label.
-        step = moves.withColumnRenamed("to", "__to")
-        old = areas.count()
-        areas = cut_lineage(
-            areas.join(step, ["image_id", "label"], "left")
-            .groupBy("image_id", F.coalesce("__to", "label").alias("label"))
-            .agg(F.sum("area").alias("area"))
-        )
-        sides = contacts.join(step, ["image_id", "label"], "left").select(
-            "image_id", F.coalesce("__to", "label").alias("__l"), F.col("other").alias("label")
-        )
-        contacts = cut_lineage(
-            sides.join(step, ["image_id", "label"], "left")
-            .select("image_id", F.col("__l").alias("label"), F.coalesce("__to", "label").alias("other"))
-            .where("label <> other and label <> 0 and other <> 0")
-            .distinct()
-        )
-        renamed = step.withColumnRenamed("label", "new")
-        mapping = cut_lineage(
-            mapping.join(renamed, ["image_id", "new"], "left").select(
-                "image_id", "label", F.coalesce("__to", "new").alias("new"), "__n"
-            )
-        )
-        if areas.count() == old:
-            break
-    return join_unique(labels, mapping, ["image_id", "label"], "__n").select(
-        *[c for c in labels.columns if c != "label"], F.col("new").cast("int").alias("label")
-    )
-
-
 # Order in which a line pixel looks for a neighbor to copy (fixed values: left,
 # then clockwise).
 THIN_ORDER = [(0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1)]
@@ -262,7 +195,7 @@ def thin_round(present: np.ndarray, label: np.ndarray, ys: np.ndarray, xs: np.nd
     open_ = present & (label == 0) & beside
     for dy, dx in THIN_ORDER:
         allowed = np.ones_like(open_)
-        if dx < 0 and dy <= 0 or (dy, dx) == (1, -1):
+        if dx < 0:
             allowed &= (xs - 1 > 0)[None, :]
         if dy < 0:
             allowed &= (ys - 1 > 0)[:, None]
@@ -273,16 +206,18 @@ def thin_round(present: np.ndarray, label: np.ndarray, ys: np.ndarray, xs: np.nd
     return out
 
 
-def thin_lines(labels: DataFrame, max_iter: int = 100, rounds_per_pass: int = 8, tile: int = TI.TILE) -> DataFrame:
-    """Give line pixels (label 0) to neighboring regions, at most ``max_iter``
-    rounds. A halo of ``rounds_per_pass`` pixels lets each pass over the data do
-    that many rounds exactly."""
+def thin_lines(
+    labels: DataFrame, max_iter: int | None = None, rounds_per_pass: int = 8, tile: int = TI.TILE
+) -> DataFrame:
+    """Give line pixels (label 0) to neighboring regions, round by round until none changes, or
+    ``max_iter`` rounds. A halo of ``rounds_per_pass`` pixels lets each pass over the data do that
+    many rounds exactly."""
     done = 0
     labels = cut_lineage(labels.select(*PIXEL, "label"))
     zeros = F.count_if(F.col("label") == 0)
     left = labels.agg(zeros).first()[0]
-    while done < max_iter and left:
-        rounds = min(rounds_per_pass, max_iter - done)
+    while left and (max_iter is None or done < max_iter):
+        rounds = rounds_per_pass if max_iter is None else min(rounds_per_pass, max_iter - done)
 
         def grow(present, arrays, ys, xs, rounds=rounds):
             label = arrays["label"]
@@ -290,7 +225,8 @@ def thin_lines(labels: DataFrame, max_iter: int = 100, rounds_per_pass: int = 8,
                 label = thin_round(present, label, ys, xs)
             return {"label": label}
 
-        labels = cut_lineage(TI.stencil(labels, ("label",), rounds, grow, {"label": "int"}, tile))
+        before, labels = labels, cut_lineage(TI.stencil(labels, ("label",), rounds, grow, {"label": "int"}, tile))
+        drop_written(before)
         done += rounds
         now = labels.agg(zeros).first()[0]
         if now == left:
@@ -316,69 +252,6 @@ def mark_filled(mask: DataFrame, fills: DataFrame, value: str = "v") -> DataFram
     )
 
 
-def trapped_ball(mask: DataFrame, radius: int, method: str | None = None, tile: int = TI.TILE) -> DataFrame:
-    """Areas of a mask (255 free, 0 line or filled) a ball of ``radius`` can
-    sweep: (image_id, y, x, label), labels from 1 by first core pixel.
-
-    Cores are the eroded free area, split into regions; each grows back by the
-    ball and, where two meet, the earlier one wins. ``method`` keeps only areas
-    of the largest, mean or median size.
-    """
-    core = erode(mask, ball(radius), "v", tile).where("v = 255")
-    cores = number_regions(label_regions(core, "v", tile), first=1).select(*PIXEL, "label")
-    kernel = ball(radius)
-    big = np.iinfo("int32").max
-
-    def grow(present, arrays, ys, xs):
-        label = np.where(arrays["label"] > 0, arrays["label"], big).astype("int32")
-        low = extreme(label, present, kernel, False)
-        return {"label": np.where(low == big, 0, low)}
-
-    seeded = mask.select(*PIXEL).join(cores, PIXEL, "left").select(
-        *PIXEL, F.coalesce("label", F.lit(0)).alias("label")
-    )
-    grown = TI.stencil(seeded, ("label",), radius, grow, {"label": "int"}, tile).where("label > 0")
-    if method is None:
-        return grown
-    grown = cut_lineage(grown)
-    kept = filter_regions(region_props(grown), method).select("image_id", "label", F.col("area").alias("__n"))
-    return join_unique(grown, kept, ["image_id", "label"], "__n").drop("__n")
-
-
-def trapped_ball_sequence(
-    mask: DataFrame, radii: tuple[int, ...] = (2, 1, 0), tile: int = TI.TILE
-) -> DataFrame:
-    """Fill with shrinking balls (the first keeps only the largest area), then
-    flood what is left: a label image with 0 for lines. Fills are numbered by
-    pass and, inside a pass, in raster order."""
-    rest = cut_lineage(mask.select(*PIXEL, "v"))
-    out, stride = None, 0
-    for k, radius in enumerate([*radii, None]):
-        if radius is None:
-            fill = number_regions(label_regions(rest.where("v = 255"), "v", tile), first=1).select(*PIXEL, "label")
-        else:
-            fill = trapped_ball(rest, radius, "max" if k == 0 else None, tile)
-        fill = cut_lineage(fill.withColumn("pass", F.lit(k)))
-        rest = cut_lineage(mark_filled(rest, fill))
-        out = fill if out is None else out.unionByName(fill)
-    ids = out.groupBy("image_id", "pass", "label").agg(F.count(F.lit(1)).alias("__n"))
-    numbered = SC.numbered(
-        ids, ["image_id"], ["pass", "label"], [{"p": F.col("pass"), "l": F.floor(F.col("label") / SC.BUCKET_ROWS)}], "__pos"
-    ).withColumn("fill_id", (F.col("__pos") + 1).cast("int"))
-    fills = join_unique(out, numbered, ["image_id", "pass", "label"], "__n").select(*PIXEL, "fill_id")
-    return fill_map(fills, mask)
-
-
-def compute_seg(
-    mask: DataFrame, radii: tuple[int, ...] = (2, 1, 0), max_iter: int = 10, min_seg_size: int = 20, tile: int = TI.TILE
-) -> DataFrame:
-    """Segmentation of a binarized line image: trapped-ball fills, small regions
-    merged, lines given to their neighbors, labels made contiguous."""
-    fills = trapped_ball_sequence(mask, radii, tile)
-    merged = merge_small(fills, min_seg_size, max_iter, tile)
-    return relabel(thin_lines(merged, tile=tile))
-
-
 def color_regions(labels: DataFrame, seed: int, black_zero: bool = True) -> DataFrame:
     """Seeded random color of each label, for viewing."""
     byte = [(seeded_number(seed, F.lit(k), "label") % 255).cast("int") for k in range(3)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from flatcel.operators import regions as R
+from flatcel.operators import segmentation as SG
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components as graph_components
 from flatcel.plans.adapters import VIEW_SQL
@@ -126,7 +127,7 @@ def region_adjacency(v):
 
 @query("merge_small")
 def merge_small(v):
-    return R.merge_small(lab(v), min_seg_size=3, tile=T)
+    return SG.merge_small(lab(v), min_seg_size=3, tile=T)
 
 
 @query("thin_lines")
@@ -136,18 +137,18 @@ def thin_lines(v):
 
 @query("trapped_ball")
 def trapped_ball(v):
-    return R.trapped_ball(im255(v), 1, tile=T)
+    return SG.trapped_ball(im255(v), 1, tile=T)
 
 
 @query("compute_seg")
 def compute_seg(v):
     """The whole segmentation of a line drawing, up to labels without gaps."""
-    return R.compute_seg(im255(v), tile=T)
+    return SG.compute_seg(im255(v), tile=T)
 
 
 @query("trapped_ball_sequence")
 def trapped_ball_sequence(v):
-    return R.trapped_ball_sequence(im255(v), (2, 1), tile=T)
+    return SG.trapped_ball_sequence(im255(v), (2, 1), tile=T)
 
 
 FILLS = """SELECT l_suppkey % 10 AS image_id, CAST(l_linenumber AS INTEGER) AS fill_id, CAST(l_partkey % 30 AS INTEGER) AS y, CAST(l_orderkey % 50 AS INTEGER) AS x

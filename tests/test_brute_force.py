@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flatcel.operators import matching as M
 from flatcel.operators import pixels as X
 from flatcel.operators import regions as R
+from flatcel.operators import segmentation as SG
 from flatcel.operators import sequences as Q
 from flatcel.operators import timeline as TL
 
@@ -150,9 +151,9 @@ def test_trapped_ball_closes_a_gap(spark):
     grid[7, 11] = 255  # a one pixel gap in the wall
     flooded = R.number_regions(R.label_regions(image(spark, grid).where("v = 255"), tile=8))
     assert flooded.select("label").distinct().count() == 1
-    balls = as_array(R.trapped_ball(image(spark, grid), 1, tile=8), grid.shape, "label")
+    balls = as_array(SG.trapped_ball(image(spark, grid), 1, tile=8), grid.shape, "label")
     assert set(balls[:, :11].ravel()) - {0} == {1} and set(balls[:, 12:].ravel()) - {0} == {2}
-    largest = as_array(R.trapped_ball(image(spark, grid), 1, "max", tile=8), grid.shape, "label")
+    largest = as_array(SG.trapped_ball(image(spark, grid), 1, "max", tile=8), grid.shape, "label")
     assert set(largest.ravel()) == {0, 2}
 
 
@@ -162,7 +163,7 @@ def test_merge_small(spark):
     label[3, 3] = 7  # one pixel inside of 1
     label[5:8, 22:25] = 9  # small, alone
     label[10:30, 21:30] = 4  # 180 pixels, alone: stays
-    got = as_array(R.merge_small(image(spark, label, "label"), min_seg_size=10, tile=16), label.shape, "label")
+    got = as_array(SG.merge_small(image(spark, label, "label"), min_seg_size=10, tile=16), label.shape, "label")
     want = label.copy()
     want[3, 3], want[5:8, 22:25] = 1, 0
     assert np.array_equal(got, want)
@@ -171,7 +172,7 @@ def test_merge_small(spark):
 def test_compute_seg_gives_two_sides(spark):
     grid = np.full((20, 30), 255)
     grid[:, 14] = 0
-    seg = as_array(R.compute_seg(image(spark, grid), radii=(1,), min_seg_size=2, tile=16), grid.shape, "label")
+    seg = as_array(SG.compute_seg(image(spark, grid), radii=(1,), min_seg_size=2, tile=16), grid.shape, "label")
     assert len(set(seg[:, 1:14].ravel())) == 1 and len(set(seg[:, 15:].ravel())) == 1 and len(set(seg.ravel())) == 2
 
 
