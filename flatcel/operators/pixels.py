@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from flatcel.operators import scan as SC
 from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 from flatcel.operators.tiles import TILE, shifted, stencil
-from flatcel.session import cut_lineage
+from flatcel.session import cut_lineage, drop_written
 
 
 def alpha_stats(pixels: DataFrame) -> DataFrame:
@@ -359,36 +359,79 @@ def combine_edges(pixels: DataFrame, tile: int = TILE) -> DataFrame:
     )
 
 
+# Farthest colors of a project that one round looks at.
+CANDIDATES = 4096
+
+
 def quantize_colors(pixels: DataFrame, colors: int = 256, key: str = "project_id") -> DataFrame:
     """Reduce the colors of a sequence to ``colors``, alpha kept.
 
-    Starts from the most frequent color and keeps adding the color farthest
-    from those chosen (ties: smaller RGB), then maps each color to its nearest
-    chosen one. Only the table of distinct colors (2^24 rows at most, whatever
-    the number of pixels) is handled per project.
+    Starts from the most frequent color and keeps adding the color farthest from those chosen (ties:
+    smaller RGB), then maps each color to its nearest chosen one (ties: the one chosen first).
+
+    The table of distinct colors with their running distance stays spread over all tasks. A round
+    takes the CANDIDATES farthest colors of each project and chooses among them while the next choice
+    is still farther than any color left out can be (distances only shrink), so a round makes many
+    choices, and its result is that of choosing one by one. Only chosen colors, at most ``colors`` a
+    project, go back to the table.
     """
+    kind = pixels.schema[key].dataType.simpleString()
+    limit = CANDIDATES
+    rgb = F.struct("r", "g", "b")
     table = pixels.groupBy(key, "r", "g", "b").agg(F.count(F.lit(1)).alias("n"))
-    key_type = pixels.schema[key].dataType.simpleString()
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["r", "g", "b"]).reset_index(drop=True)
-        rgb = pdf[["r", "g", "b"]].to_numpy(dtype="int64")
-        pick = int(np.argmax(pdf["n"].to_numpy()))
-        nearest = np.full(len(rgb), pick)
-        gap = ((rgb - rgb[pick]) ** 2).sum(axis=1)
-        for _ in range(min(colors, len(rgb)) - 1):
-            pick = int(np.argmax(gap))
-            d = ((rgb - rgb[pick]) ** 2).sum(axis=1)
-            closer = d < gap
-            nearest[closer], gap = pick, np.minimum(gap, d)
-        out = pdf[[key, "r", "g", "b"]].copy()
-        out[["qr", "qg", "qb"]] = rgb[nearest].astype("int32")
-        return out
-
-    mapping = table.groupBy(key).applyInPandas(
-        choose, f"{key} {key_type}, r int, g int, b int, qr int, qg int, qb int"
+    state = cut_lineage(table.withColumn("gap", F.lit(1 << 40).cast("long")))
+    frequent = F.max_by(rgb, F.struct(F.col("n"), -F.col("r"), -F.col("g"), -F.col("b")))
+    chosen = cut_lineage(state.groupBy(key).agg(F.array(frequent).alias("chosen")))
+    fresh = chosen
+    farthest = Window.partitionBy(key).orderBy(F.desc("gap"), "r", "g", "b")
+
+    def choose(candidates: pd.DataFrame, had: pd.DataFrame) -> pd.DataFrame:
+        candidates = candidates.sort_values(["gap", "r", "g", "b"], ascending=[False, True, True, True])
+        points = candidates[["r", "g", "b"]].to_numpy("int64")
+        gap = candidates["gap"].to_numpy("int64").copy()
+        room = colors - int(had["size"].iloc[0]) if len(had) and len(gap) else 0
+        # One number that sorts like (distance, smaller color).
+        tie = (1 << 24) - 1 - (points << np.array([16, 8, 0])).sum(axis=1)
+        least = (gap[-1] << 24) + tie[-1] if len(gap) == limit else 0
+        picked = []
+        while room > len(picked):
+            best = int(((gap << 24) + tie).argmax())
+            if gap[best] == 0 or (gap[best] << 24) + tie[best] < least:
+                break
+            picked.append(best)
+            gap = np.minimum(gap, ((points - points[best]) ** 2).sum(axis=1))
+        return candidates.iloc[picked][[key, "r", "g", "b"]].assign(i=np.arange(len(picked), dtype="int32"))
+
+    def distance(c: Column) -> Column:
+        return sum((F.col(n).cast("long") - c[n]) ** 2 for n in "rgb").cast("long")
+
+    while True:
+        near = F.array_min(F.transform("chosen", distance))
+        moved = join_lookup(state, fresh, [key], null_safe=True)
+        before, state = state, cut_lineage(
+            moved.select(key, "r", "g", "b", F.coalesce(F.least("gap", near), F.col("gap")).alias("gap"))
+        )
+        drop_written(before)
+        top = state.where("gap > 0").withColumn("__r", F.row_number().over(farthest)).where(F.col("__r") <= limit)
+        sizes = chosen.select(F.col(key).alias("__key"), F.size("chosen").alias("size"))
+        picks = top.drop("__r").groupBy(key).cogroup(sizes.groupBy("__key")).applyInPandas(
+            choose, f"{key} {kind}, r int, g int, b int, i int"
+        )
+        in_order = F.array_sort(F.collect_list(F.struct("i", rgb.alias("c"))))
+        fresh = cut_lineage(picks.groupBy(key).agg(F.transform(in_order, lambda p: p["c"]).alias("chosen")))
+        if fresh.isEmpty():
+            break
+        added = fresh.select(F.col(key).alias("__key"), F.col("chosen").alias("__more"))
+        both = chosen.join(added, F.col(key).eqNullSafe(F.col("__key")), "left")
+        more = F.coalesce("__more", F.array().cast("array<struct<r: int, g: int, b: int>>"))
+        before, chosen = chosen, cut_lineage(both.select(key, F.concat("chosen", more).alias("chosen")))
+        drop_written(before)
+    # Position in the list settles ties for the color chosen first.
+    nearest = F.array_min(F.transform("chosen", lambda c, i: F.struct(distance(c).alias("d"), i.alias("i"), c.alias("c"))))
+    mapping = join_lookup(state.drop("gap"), chosen, [key], null_safe=True).select(
+        key, "r", "g", "b", *[nearest["c"][c].alias(f"q{c}") for c in "rgb"]
     )
-    return join_lookup(pixels, mapping, [key, "r", "g", "b"], "inner").select(
+    return join_lookup(pixels, mapping, [key, "r", "g", "b"], "inner", null_safe=True).select(
         *[c for c in pixels.columns if c not in "rgb"], *[F.col(f"q{c}").alias(c) for c in "rgb"]
     )
 

@@ -249,13 +249,25 @@ def combine_edges(v):
     return X.combine_edges(px, tile=T)
 
 
+def _farthest(chosen: list[str], source: str) -> str:
+    """The color of each project farthest from the ``chosen`` tables, of equal ones the smallest."""
+    gap = ", ".join(f"power(t.r - {c}.r, 2) + power(t.g - {c}.g, 2) + power(t.b - {c}.b, 2)" for c in chosen)
+    joins = " ".join(f"JOIN {c} ON {c}.p = t.p" for c in chosen)
+    return f"""SELECT p, r, g, b FROM (SELECT t.*, least({gap}) AS gap, row_number() OVER (PARTITION BY t.p ORDER BY least({gap}) DESC, t.r, t.g, t.b) AS k
+               FROM {source} t {joins}) WHERE k = 1 AND gap > 0"""
+
+
 @query(
     "quantize_colors",
-    """SELECT image_id // 3 AS project_id, count(*) AS n, least(3, count(DISTINCT r * 65536 + g * 256 + b)) AS num_colors, sum(a) AS alpha FROM grid GROUP BY 1""",
+    f"""WITH px AS (SELECT image_id // 3 AS p, CAST(r AS INTEGER) AS r, CAST(g AS INTEGER) AS g, CAST(b AS INTEGER) AS b, a FROM grid),
+        t AS (SELECT p, r, g, b, count(*) AS n FROM px GROUP BY ALL),
+        c1 AS (SELECT p, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY n DESC, r, g, b) AS k FROM t) WHERE k = 1),
+        c2 AS ({_farthest(["c1"], "t")}), c3 AS ({_farthest(["c1", "c2"], "t")}),
+        c AS (SELECT 1 AS i, * FROM c1 UNION ALL SELECT 2, * FROM c2 UNION ALL SELECT 3, * FROM c3),
+        m AS (SELECT t.p, t.r, t.g, t.b, arg_min(c, (power(t.r - c.r, 2) + power(t.g - c.g, 2) + power(t.b - c.b, 2)) * 10 + c.i) AS c
+              FROM t JOIN c ON c.p = t.p GROUP BY ALL)
+        SELECT px.p AS project_id, px.a, m.c.r AS r, m.c.g AS g, m.c.b AS b FROM px JOIN m ON m.p = px.p AND m.r = px.r AND m.g = px.g AND m.b = px.b""",
 )
 def quantize_colors(v):
     px = v.grid.select(F.expr("image_id div 3").alias("project_id"), "r", "g", "b", "a")
-    out = X.quantize_colors(px, 3)
-    return out.groupBy("project_id").agg(
-        F.count("*").alias("n"), F.count_distinct("r", "g", "b").alias("num_colors"), F.sum("a").alias("alpha")
-    )
+    return X.quantize_colors(px, 3)

@@ -197,6 +197,28 @@ def test_quantize_keeps_few_colors_and_maps_to_nearest(spark):
         assert d(out[r.i]) == min(map(d, chosen))
 
 
+def test_quantize_equals_choosing_one_by_one(spark, monkeypatch):
+    """Few candidates a round, so that choices take many rounds; ties; fewer colors than wanted; a null project."""
+    monkeypatch.setattr(X, "CANDIDATES", 9)
+    rng = np.random.default_rng(5)
+    projects = {1: rng.integers(0, 256, (150, 3)), 2: rng.integers(0, 4, (90, 3)) * 80, None: rng.integers(0, 3, (12, 3)), 4: np.full((5, 3), 7)}
+    px = [(k, *map(int, c), i) for k, p in projects.items() for i, c in enumerate(p)]
+    got = X.quantize_colors(spark.createDataFrame(px, "project_id long, r int, g int, b int, a int"), 40)
+    got = sorted((-1 if r.project_id is None else r.project_id, r.a, r.r, r.g, r.b) for r in got.collect())
+    want = []
+    for k, p in projects.items():
+        table, n = np.unique(p, axis=0, return_counts=True)
+        chosen = [table[np.argmax(n)]]
+        while len(chosen) < 40:
+            gap = np.min([((table - c) ** 2).sum(1) for c in chosen], axis=0)
+            if not gap.max():
+                break
+            chosen.append(table[np.argmax(gap)])
+        near = np.argmin([((p - c) ** 2).sum(1) for c in chosen], axis=0)
+        want += [(-1 if k is None else k, i, *map(int, chosen[j])) for i, j in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_blocked_matching_over_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(M, "BLOCK", 4)
     rng = np.random.default_rng(0)

@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from flatcel.operators import scan as SC
+from flatcel.operators import graph
 from flatcel.operators.graph import components
 from flatcel.operators.skew import hot_limit, join_lookup, join_unique, largest_keys, with_group_facts
 
@@ -50,7 +51,7 @@ def test_group_facts_with_hot_and_null_keys(spark):
     assert out.count() == 57
 
 
-def test_components_equal_union_find(spark):
+def test_components_equal_union_find(spark, monkeypatch):
     rng = random.Random(3)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(70)] + [(0, i) for i in range(200, 230)] + [(i, i + 1) for i in range(300, 340)]
     parent: dict[int, int] = {}
@@ -67,7 +68,12 @@ def test_components_equal_union_find(spark):
             parent[max(ra, rb)] = min(ra, rb)
     want = {n: find(n) for n in list(parent)}
     df = spark.createDataFrame(edges, "src long, dst long")
-    assert {r.node: r.component for r in components(df).collect()} == want
+    # All links in one task, then a few links a task and rounds between tasks; plain nodes and structs.
+    for links in (1 << 20, 7):
+        monkeypatch.setattr(graph, "CHUNK_LINKS", links)
+        assert {r.node: r.component for r in components(df.repartition(5)).collect()} == want
+        structs = df.selectExpr("struct('i' as image, src as y) as src", "struct('i' as image, dst as y) as dst")
+        assert {r.node.y: r.component.y for r in components(structs).collect()} == want
 
 
 def test_left_join_keeps_unmatched_rows_and_hot_keys(spark):
@@ -97,10 +103,11 @@ def test_hot_keys_are_few(spark):
     assert few[0] == 7 and len(few) == hot_limit(stats)
 
 
-def test_rounds_leave_no_files(spark):
+def test_rounds_leave_no_files(spark, monkeypatch):
     from flatcel import session
 
     before = set(session._FOLDERS)
+    monkeypatch.setattr(graph, "CHUNK_LINKS", 20)
     edges = spark.range(300).selectExpr("id as src", "id + 1 as dst")
     out = components(edges)
     assert out.where("component <> 0").count() == 0
