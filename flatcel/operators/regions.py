@@ -308,18 +308,6 @@ def stitch(tiles: DataFrame, size: int = 512, overlap: float = 0.5) -> DataFrame
     return join_unique(named, numbered, ["image_id", "root"], "__n").select(*PIXEL, "label")
 
 
-def resegment(
-    old_tiles: DataFrame, new_tiles: DataFrame, old_labels: DataFrame, size: int = 512, overlap: float = 0.5
-) -> DataFrame:
-    """Segmentation of a changed image: only tiles with a changed pixel are
-    labelled again, the labels of all others are reused, then all are stitched."""
-    changed = cut_lineage(TI.changed_tiles(old_tiles, new_tiles))
-    keys = ["image_id", "ty", "tx"]
-    fresh = label_tiles(new_tiles.join(changed, keys, "left_semi"))
-    kept = old_labels.join(changed, keys, "left_anti")
-    return stitch(fresh.unionByName(kept), size, overlap)
-
-
 # --- boxes and differences ------------------------------------------------------
 
 

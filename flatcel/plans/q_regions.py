@@ -8,9 +8,11 @@ from flatcel.operators import regions as R
 from flatcel.operators import segmentation as SG
 from flatcel.operators import tiles as TI
 from flatcel.operators.graph import components as graph_components
+from flatcel.operators.tile_forest import TileForest
 from flatcel.plans.adapters import VIEW_SQL
 from flatcel.plans.q_pixels import im255, lines, sizes
 from flatcel.plans.registry import query
+from flatcel.session import new_folder
 
 T = 16  # small tiles, so that every query crosses tile borders
 
@@ -267,7 +269,12 @@ def changed_tiles(v):
 
 @query("resegment", _cc("SELECT * FROM redrawn", NUMBERED))
 def resegment(v):
-    return R.resegment(tiled(v), tiled(v, redrawn(v)), R.label_tiles(tiled(v)), 16, 0.5)
+    """Segment the first version, bring the changed tiles, read the labels of the second."""
+    old, new = tiled(v), tiled(v, redrawn(v))
+    forest = TileForest(v.spark, new_folder(v.spark), 16, 0.5)
+    forest.create(old)
+    forest.update(new.join(TI.changed_tiles(old, new), ["image_id", "ty", "tx"], "left_semi"))
+    return forest.labels()
 
 
 @query("diff_regions")

@@ -84,6 +84,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return written
 
 
+def new_folder(spark: SparkSession) -> str:
+    """Name of a new folder beside the checkpoints, deleted when the driver ends."""
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    _FOLDERS.setdefault(folder, spark)
+    return folder
+
+
 def drop_written(*frames: DataFrame | None) -> None:
     """Delete the folders behind frames that ``cut_lineage`` returned."""
     for df in frames:

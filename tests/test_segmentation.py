@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,8 @@ import pytest
 from flatcel.operators import outlines as OL
 from flatcel.operators import regions as R
 from flatcel.operators import segmentation as SG
+from flatcel.operators import tiles as TI
+from flatcel.operators.tile_forest import TileForest
 
 
 def images(spark, drawings, column="v"):
@@ -247,3 +250,54 @@ def test_thin_lines_by_a_drawn_picture(spark):
     (got,) = arrays(R.thin_lines(images(spark, [d], "label"), tile=8), [d])
     assert (got > 0).all()
     assert ["".join(map(str, row)) for row in got] == want
+
+
+def tiled(spark, drawings, size):
+    sizes = spark.createDataFrame([(i, *d.shape) for i, d in enumerate(drawings)], "image_id long, h int, w int")
+    return TI.tile(images(spark, drawings).join(sizes, "image_id"), size, 0.5).drop("h", "w")
+
+
+def numbered_by_hand(d):
+    label, n = np.full(d.shape, -1), 0
+    for start in map(tuple, np.argwhere(label < 0)):
+        if label[start] < 0:
+            for p in flood(d == d[start], start):
+                label[p] = n
+            n += 1
+    return label
+
+
+def files(folder, table):
+    return {p.parent.name: p.name for p in Path(folder, table).rglob("*.parquet")}
+
+
+def test_forest_follows_changes(spark, tmp_path):
+    """Walls that appear, vanish and split regions over many tiles; only touched buckets are rewritten."""
+    rng = np.random.default_rng(7)
+    drawings = [np.ones((40, 56), int) for _ in range(2)]
+    for d in drawings:
+        d[rng.random(d.shape) < 0.1] = 0
+        d[:, 20] = 0
+    forest = TileForest(spark, str(tmp_path / "forest"), 8, 0.5, buckets=40)
+    forest.create(tiled(spark, drawings, 8))
+    for step in range(3):
+        old = [d.copy() for d in drawings]
+        if step == 0:
+            drawings[0][5:9, 20] = 1  # a door joins two halves
+        elif step == 1:
+            drawings[0][5:9, 20] = 0  # and closes again
+            drawings[1][20, 30:] = 0
+        else:
+            drawings[1][33, 50] = 1 - drawings[1][33, 50]
+        before = files(forest.folder, "pixels")
+        new = tiled(spark, drawings, 8)
+        changed = TI.changed_tiles(tiled(spark, old, 8), new)
+        hit = {f"bucket={r.b}" for r in changed.selectExpr("pmod(xxhash64(image_id, ty, tx), 40) as b").collect()}
+        forest.update(new.join(changed, ["image_id", "ty", "tx"], "left_semi"))
+        after = files(forest.folder, "pixels")
+        assert {b for b in after if after[b] != before.get(b)} == hit and 0 < len(hit) < len(after)
+        for d, g in zip(drawings, arrays(forest.labels(), drawings)):
+            assert np.array_equal(g, numbered_by_hand(d)), step
+    before = {t: files(forest.folder, t) for t in ("pixels", "nodes", "members", "links")}
+    forest.update(tiled(spark, drawings, 8).where("false"))
+    assert {t: files(forest.folder, t) for t in before} == before
