@@ -277,7 +277,25 @@ def resegment(v):
     return forest.labels()
 
 
-@query("diff_regions")
+def _closure(source: str) -> str:
+    """Every box of ``source`` (image_id, y1, x1, y2, x2) grows to the hull of what it meets until none does."""
+    return f"""WITH RECURSIVE src AS (SELECT *, row_number() OVER () AS id FROM ({source})),
+      hull(image_id, id, y1, x1, y2, x2) USING KEY (image_id, id) AS (
+        SELECT image_id, id, y1, x1, y2, x2 FROM src
+        UNION
+        SELECT p.image_id, p.id, least(p.y1, min(q.y1)), least(p.x1, min(q.x1)), greatest(p.y2, max(q.y2)), greatest(p.x2, max(q.x2))
+        FROM hull q JOIN recurring.hull p ON p.image_id = q.image_id AND p.y1 <= q.y2 AND p.y2 >= q.y1 AND p.x1 <= q.x2 AND p.x2 >= q.x1
+        GROUP BY p.image_id, p.id, p.y1, p.x1, p.y2, p.x2
+        HAVING min(q.y1) < p.y1 OR min(q.x1) < p.x1 OR max(q.y2) > p.y2 OR max(q.x2) > p.x2)
+      SELECT DISTINCT image_id, y1, x1, y2, x2 FROM hull"""
+
+
+# Around single changed pixels: neighbors' boxes meet, so their closure is that of whole changed places.
+CHANGED = """SELECT m.image_id, greatest(m.y - 2, 0) AS y1, greatest(m.x - 2, 0) AS x1, CAST(least(m.y + 3, h) AS INTEGER) AS y2, CAST(least(m.x + 3, w) AS INTEGER) AS x2
+             FROM mask m JOIN redrawn r USING (image_id, y, x) JOIN imgsize USING (image_id) WHERE m.v <> r.v"""
+
+
+@query("diff_regions", _closure(CHANGED))
 def diff_regions(v):
     return R.diff_regions(v.mask, redrawn(v), 2, tile=T)
 
@@ -294,7 +312,7 @@ def boxes(v):
     )
 
 
-@query("merge_boxes")
+@query("merge_boxes", _closure("SELECT * FROM boxes"))
 def merge_boxes(v):
     return R.merge_boxes(boxes(v))
 
