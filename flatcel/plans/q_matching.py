@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from flatcel.functions import arrays as AR
 from flatcel.operators import matching as M
+from flatcel.operators.top_matches import top_matches as top
 from flatcel.plans.adapters import VIEW_SQL
 from flatcel.plans.registry import query
 
@@ -40,6 +41,15 @@ def similarity(v):
     return M.similarity(v.refs, v.tgts).select("pair_id", "tgt_seg", "ref_block", "ref_segs", rounded("sims", 4))
 
 
+@query(
+    "top_matches",
+    """SELECT pair_id, tgt_seg, CAST(rank AS INTEGER) AS rank, ref_seg, round(sim, 4) AS sim FROM (
+         SELECT *, row_number() OVER (PARTITION BY pair_id, tgt_seg ORDER BY sim DESC, ref_seg) AS rank FROM sims) WHERE rank <= 3""",
+)
+def top_matches(v):
+    return top(v.refs, v.tgts, 3).select("pair_id", "tgt_seg", "rank", "ref_seg", F.round("sim", 4).alias("sim"))
+
+
 @query(
     "masked_softmax",
     """SELECT pair_id, tgt_seg, CAST(ref_seg // 128 AS BIGINT) AS ref_block, list(ref_seg ORDER BY ref_seg) AS ref_segs,

@@ -14,6 +14,7 @@ from flatcel.operators import regions as R
 from flatcel.operators import segmentation as SG
 from flatcel.operators import sequences as Q
 from flatcel.operators import timeline as TL
+from flatcel.operators import top_matches as TM
 
 
 def image(spark, rows, column="v"):
@@ -237,6 +238,32 @@ def test_blocked_matching_over_many_blocks(spark, monkeypatch):
     assert {(r.color_id, r.vote) for r in hidden} == {(0, 1.0)} and len(hidden) == 9
 
 
+def test_top_matches_skip_far_blocks(spark, monkeypatch):
+    """Clustered features: the k best of the full matrix from far fewer products; copies tie by id."""
+    monkeypatch.setattr(TM, "BLOCK", 8)
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(6, 16)) * 4
+    ref = np.concatenate([c + 0.2 * rng.normal(size=(40, 16)) for c in centers])
+    ref[100:130] = ref[100]  # copies: one direction of many members
+    tgt = np.concatenate([c + 0.2 * rng.normal(size=(5, 16)) for c in centers] + [ref[100:101]])
+    side = lambda m, p: spark.createDataFrame(
+        [(p, i, 0, [float(z) for z in row]) for i, row in enumerate(m)], "pair_id string, seg_id int, color_id int, features array<double>"
+    )
+    stats = {}
+    got = TM.top_matches(side(ref, "a").unionByName(side(ref[:2], "b")), side(tgt, "a").unionByName(side(tgt[:3], "b")), 4, 1.0, stats)
+    got = {(r.pair_id, r.tgt_seg, r["rank"]): (r.ref_seg, r.sim) for r in got.collect()}
+    unit = lambda m: (m - m.mean(1, keepdims=True)) / np.linalg.norm(m - m.mean(1, keepdims=True), axis=1, keepdims=True)
+    for pair, r, t in (("a", ref, tgt), ("b", ref[:2], tgt[:3])):
+        sim = unit(t) @ unit(r).T
+        for i in range(len(t)):
+            order = np.lexsort((np.arange(len(r)), -np.round(sim[i], 9)))[:4]
+            mine = [got[pair, i, n + 1] for n in range(len(order))]
+            assert np.allclose([s for _, s in mine], sim[i][order], atol=1e-7)
+            if not (pair == "a" and len(set(np.round(sim[i][order], 7))) < len(order)):
+                assert [j for j, _ in mine] == order.tolist()
+    assert len(got) == 4 * len(tgt) + 2 * 3 and stats["met"] < stats["all"] / 2
+
+
 def test_pack_large_equals_small(spark):
     rng = random.Random(6)
     rows = [(g, i, rng.randrange(0, 20)) for g in (1, 2) for i in range(150)]
