@@ -79,7 +79,8 @@ def _per_block(
                 out["pair_id"] = row.pair_id
                 yield pd.DataFrame(out)
 
-    return pairs.mapInPandas(run, f"pair_id long, {schema}")
+    pair_type = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.mapInPandas(run, f"pair_id {pair_type}, {schema}")
 
 
 def similarity(ref: DataFrame, tgt: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
