@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from flatcel.llm.spans import count_kind, joined, matches
+from flatcel.llm.spans import bind, count_kind, joined, matches, pieces, text_before
 
 THRESHOLD = 0.5
 CONTEXT_CHARS = 40
 CONTEXT_GAIN = 0.35
+# Texts are cut into pieces of this length, so that a context is read near its span.
+PIECE_CHARS = 1024
 
 
 @dataclass(frozen=True)
@@ -107,9 +109,8 @@ def _spans_of(i: int, kind: Kind, text: Column, threshold: float) -> Column:
     wanted = text.contains(kind.needs) if kind.needs else F.lit(True)
     proposed = F.filter(matches(text, kind.pattern, wanted), lambda x: confirmed(kind.name, x["hit"]))
 
-    def scored(x: Column) -> Column:
-        first = F.greatest(x["s"] + 1 - CONTEXT_CHARS, F.lit(1))
-        near = F.substring(text, first, F.least(x["s"], F.lit(CONTEXT_CHARS))).rlike(f"(?i)(?:{kind.context})")
+    def scored(x: Column, cut: Column) -> Column:
+        near = text_before(cut, PIECE_CHARS, x["s"], CONTEXT_CHARS).rlike(f"(?i)(?:{kind.context})")
         return F.struct(
             F.lit(i).alias("i"),
             x["s"].alias("s"),
@@ -118,7 +119,15 @@ def _spans_of(i: int, kind: Kind, text: Column, threshold: float) -> Column:
             (F.lit(kind.score) + F.when(near, CONTEXT_GAIN).otherwise(0.0)).alias("score"),
         )
 
-    return F.filter(F.transform(proposed, scored), lambda x: x["score"] >= threshold)
+    # The text is cut only where there is something to score.
+    every = bind(
+        proposed,
+        lambda spans: F.when(
+            F.size(spans) > 0,
+            bind(pieces(text, PIECE_CHARS), lambda cut: F.transform(spans, lambda x: scored(x, cut))),
+        ).otherwise(F.expr("cast(array() as array<struct<i:int,s:int,e:int,kind:string,score:double>>)")),
+    )
+    return F.filter(every, lambda x: x["score"] >= threshold)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

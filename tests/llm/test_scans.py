@@ -121,6 +121,42 @@ def test_pii(spark):
     assert got[9].spans == ""
 
 
+def test_texts_of_very_many_hits(spark):
+    # A hundred thousand hits in one text, behind characters beyond the basic plane.
+    mails = "\U0001f600 " + " ".join(f"u{i}@ex{i % 7}.org" for i in range(100_000))
+    keys = "\u00e4 " + " ".join(f"token={i:08d}" for i in range(100_000))
+    got = {r.doc_id: r for r in P.pii_report(frame(spark, [(1, mails), (2, "a@b.c")])).collect()}
+    want = ",".join(f"{k}:{s}:{e}" for k, s, e in pii_by_hand(mails))
+    assert got[1].n_email == 100_000 and got[1].spans == want and got[2].spans == "email:0:5"
+    r = L.secret_report(frame(spark, [(1, keys)])).first()
+    assert r.n_assign == 100_000
+    assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in base_spans(keys))
+
+
+def test_contexts_across_pieces(spark):
+    # The word lies 0 to 59 characters before a number that starts near a border of pieces.
+    number, texts = "123-45-6789", []
+    for start in (15, 39, 41, P.PIECE_CHARS - 1, P.PIECE_CHARS, P.PIECE_CHARS + 1, 2 * P.PIECE_CHARS + 20):
+        for gap in (1, 10, 36, 37, 38, 59):
+            head = ("\U0001f600." * start)[: max(start - gap - 3, 0)] + "ssn" + " " * gap
+            texts.append(head[-start:] + number + " end")
+    got = {r.doc_id: r.spans for r in P.pii_report(frame(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        s = t.index(number)
+        near = re.search("ssn", t[max(s - P.CONTEXT_CHARS, 0) : s])
+        assert got[i] == (f"ssn:{s}:{s + len(number)}" if near else ""), (i, s)
+
+
+def test_running_sums(spark):
+    from flatcel.llm.spans import running_sums
+
+    rng = random.Random(1)
+    rows = [[rng.randrange(9) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 7, 8, 9, 31, 32, 33, 1000)]
+    got = spark.createDataFrame([(r,) for r in rows], "n array<int>").select("n", running_sums(F.col("n")).alias("s"))
+    for r in got.collect():
+        assert r.s == [sum(r.n[: i + 1]) for i in range(len(r.n))]
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
