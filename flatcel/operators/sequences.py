@@ -157,6 +157,135 @@ def sample_subsequences(
     return out
 
 
+def _choose(n: Column, k: Column) -> Column:
+    """Binomial coefficient; every partial product is divided exactly."""
+    one = F.lit(1).cast("bigint")
+    steps = F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(steps, one, lambda acc, t: F.call_function("div", acc * (n - t + 1), t))
+
+
+def _subset(index: Column, among: Column, size: Column) -> Column:
+    """The subset of ``size`` numbers in [0, among) with this place in the order of subsets by their
+    greatest number, then the next one and so on: each number is the greatest whose subsets all fit."""
+    start = F.struct(index.alias("q"), F.expr("cast(array() as array<int>)").alias("chosen"))
+
+    def step(state: Column, k: Column) -> Column:
+        above = F.when(among > k, F.sequence(k, among - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+        number = k - 1 + F.size(F.filter(above, lambda x: _choose(x, k) <= state["q"]))
+        return F.struct(
+            (state["q"] - _choose(number, k)).alias("q"),
+            F.concat(state["chosen"], F.array(number)).alias("chosen"),
+        )
+
+    steps = F.when(size > 0, F.sequence(size, F.lit(1))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.aggregate(steps, start, step, lambda s: s["chosen"])
+
+
+def _arranged(index: Column, values: Column) -> Column:
+    """The permutation of sorted ``values`` with this place in lexicographic order."""
+    start = F.struct(index.alias("p"), values.alias("rest"), F.slice(values, 1, 0).alias("out"))
+
+    def step(state: Column, left: Column) -> Column:
+        block = F.factorial(left)
+        place = F.call_function("div", state["p"], block).cast("int")
+        return F.struct(
+            F.pmod(state["p"], block).alias("p"),
+            F.filter(state["rest"], lambda _, i: i != place).alias("rest"),
+            F.concat(state["out"], F.array(F.get(state["rest"], place))).alias("out"),
+        )
+
+    return F.aggregate(F.sequence(F.size(values) - 1, F.lit(0)), start, step, lambda s: s["out"])
+
+
+def _followers(frames: DataFrame, max_dist: int) -> DataFrame:
+    """``frames`` plus ``followers``, the frames after each one within the distance.
+
+    Windows run over bands of frame numbers, each with the first frames of the next band; the
+    numbers of a project are distinct, so a band is bounded. Projects under five frames are one band."""
+    width = max(max_dist, SC.BUCKET_ROWS)
+    number, small = F.col("frame_idx"), F.col("__frames") < 5
+    own = F.when(small, 0).otherwise(F.floor(number / width)).cast("bigint")
+    early = ~small & (number - own * width < max_dist)
+    bands = frames.withColumn("__own", own).withColumn(
+        "__band", F.explode(F.when(early, F.array(own, own - 1)).otherwise(F.array(own)))
+    )
+    window = Window.partitionBy("project_id", "__band").orderBy("frame_idx")
+    near = sum((F.coalesce(F.lead("frame_idx", k).over(window) - number <= 10000, F.lit(False)).cast("int") for k in (1, 2, 3)), F.lit(0))
+    within = F.count(F.lit(1)).over(window.rangeBetween(1, max_dist)).cast("int")
+    return (
+        bands.withColumn("followers", F.when(small, near).otherwise(within))
+        .where(F.col("__band") == F.col("__own"))
+        .drop("__band", "__own")
+    )
+
+
+def draw_subsequences(
+    frames: DataFrame, length: int, max_dist: int, max_subseqs: int, min_subseqs: int = 0, seed: int = 0
+) -> DataFrame:
+    """The sample of ``sample_subsequences`` without listing the tuples it is drawn from.
+
+    Tuples are ranked by length, smallest frame, set (greatest frame first) and arrangement. A
+    frame with c followers is the smallest of n! * C(c, n - 1) tuples of length n, so running sums
+    say which ranks are its own. The ranks of a project are cut into ``max_subseqs`` equal parts and
+    one rank is drawn in each; only drawn ranks are turned into tuples. A project with fewer tuples
+    gives them all, and then repeats, drawn at random, up to ``min_subseqs``. Work follows frames
+    plus drawn tuples, whatever the distance.
+
+    Returns (project_id, draw, frames); ``draw`` counts from 0. Lengths, and the distance of short
+    sequences, are those of ``sample_subsequences``. Repeated frame numbers count once; rows without
+    project or number are left out. More tuples in a project than a long holds are an error.
+    """
+    if not 0 < max_subseqs >= min_subseqs:
+        raise ValueError("max_subseqs must be positive and no smaller than min_subseqs")
+    distinct = frames.select("project_id", "frame_idx").dropna().distinct()
+    sized = with_group_facts(distinct, ["project_id"], {"__frames": F.count(F.lit(1))}).where(F.col("__frames") >= length)
+    base = cut_lineage(numbered_frames(_followers(sized, max_dist)).drop("__frames"))
+
+    sizes = [2] if length == 2 else list(range(1, length + 1))
+    n, c = F.col("n"), F.col("followers")
+    weighted = (
+        base.withColumn("n", F.explode(F.array(*[F.lit(k) for k in sizes])))
+        .where(c >= n - 1)
+        .withColumn("__tuples", _choose(c, n - 1) * F.factorial(n))
+    )
+    ranked = SC.scan(
+        with_group_facts(weighted, ["project_id"], {"__total": F.sum("__tuples")}),
+        ["project_id"],
+        ["n", "frame_idx"],
+        [{"n": n, "frame_idx": F.floor(F.col("frame_idx") / SC.BUCKET_ROWS)}],
+        __end=SC.running_sum(F.col("__tuples")),
+    ).withColumn("__start", F.col("__end") - F.col("__tuples"))
+
+    total, wide = F.col("__total"), "decimal(19,0)"
+    parts = F.least(F.lit(max_subseqs).cast("bigint"), total)
+    div = lambda a, b: F.call_function("div", a, b).cast("bigint")
+    part_of = lambda rank: div((rank + 1).cast(wide) * parts.cast(wide) - 1, total.cast(wide))
+    start_of = lambda j: div(j.cast(wide) * total.cast(wide), parts.cast(wide))
+    chance = lambda k: F.conv(F.substring(seeded_text(k, "project_id", "draw"), 1, 15), 16, 10).cast("bigint")
+    j = F.col("draw")
+    repeats = F.when(parts < min_subseqs, F.sequence(parts, F.lit(min_subseqs - 1).cast("bigint"))).otherwise(
+        F.expr("cast(array() as array<bigint>)")
+    )
+    rank = F.when(j < parts, start_of(j) + chance(seed) % F.greatest(start_of(j + 1) - start_of(j), F.lit(1))).otherwise(
+        chance(seed + 1) % total
+    )
+    drawn = (
+        ranked.withColumn("draw", F.explode(F.concat(F.sequence(part_of(F.col("__start")), part_of(F.col("__end") - 1)), repeats)))
+        .withColumn("__rank", rank)
+        .where((F.col("__rank") >= F.col("__start")) & (F.col("__rank") < F.col("__end")))
+        .withColumn("__rank", F.col("__rank") - F.col("__start"))
+    )
+    later = _subset(div(F.col("__rank"), F.factorial(n)), c, n - 1)
+    places = F.concat(F.array(F.col("pos")), F.transform(later, lambda x: F.col("pos") + 1 + x))
+    return (
+        drawn.select("project_id", "draw", F.pmod("__rank", F.factorial(n)).alias("__order"), F.explode(places).alias("pos"))
+        .join(base.select("project_id", "pos", "frame_idx"), ["project_id", "pos"])
+        .groupBy("project_id", "draw", "__order")
+        .agg(F.sort_array(F.collect_list("frame_idx")).alias("__set"))  # at most ``length`` frames
+        .select("project_id", "draw", _arranged(F.col("__order"), F.col("__set")).alias("frames"))
+    )
+
+
 def random_palette(palette: DataFrame, seed: int) -> DataFrame:
     """Palette with seeded random opaque colors."""
     byte = [seeded_number(seed, F.lit(k), "project_id", "color_id") % 256 for k in range(3)]

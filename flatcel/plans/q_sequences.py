@@ -139,6 +139,42 @@ def subsequence_rows(v):
     return Q.sample_subsequences(v.seqs, 3, 2, max_subseqs=20, min_subseqs=4, seed=7)
 
 
+# Tuples listed and ranked, one rank drawn in each of equal parts, repeats for projects with few.
+DRAWN = """r AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY len(frames), list_min(frames), list_reverse_sort(frames), frames) - 1 AS rank,
+                   count(*) OVER (PARTITION BY project_id) AS total FROM c),
+       t AS (SELECT DISTINCT project_id, total, least(total, {most}) AS m FROM r),
+       j AS (SELECT *, unnest(range(greatest(m, {least}))) AS draw FROM t),
+       d AS (SELECT project_id, draw, CASE WHEN draw < m
+               THEN draw * total // m + CAST('0x' || substr(md5('7:' || project_id || ':' || draw), 1, 15) AS BIGINT) % greatest((draw + 1) * total // m - draw * total // m, 1)
+               ELSE CAST('0x' || substr(md5('8:' || project_id || ':' || draw), 1, 15) AS BIGINT) % total END AS rank FROM j)
+       SELECT d.project_id, d.draw, r.frames FROM d JOIN r ON d.project_id = r.project_id AND d.rank = r.rank"""
+
+
+@query(
+    "draw_subsequences",
+    """WITH s AS (SELECT project_id, frame_idx AS f, CASE WHEN count(*) OVER w < 5 THEN 10000 ELSE 4 END AS d, count(*) OVER w AS n
+                  FROM seqs WINDOW w AS (PARTITION BY project_id)),
+       c AS (SELECT project_id, [f] AS frames FROM s WHERE n >= 3
+             UNION ALL SELECT a.project_id, [a.f, b.f] FROM s a JOIN s b ON a.project_id = b.project_id AND a.f <> b.f AND abs(a.f - b.f) <= a.d WHERE a.n >= 3
+             UNION ALL SELECT a.project_id, [a.f, b.f, c.f] FROM s a JOIN s b ON a.project_id = b.project_id AND a.f <> b.f AND abs(a.f - b.f) <= a.d
+               JOIN s c ON a.project_id = c.project_id AND a.f <> c.f AND b.f <> c.f AND abs(a.f - c.f) <= a.d AND abs(b.f - c.f) <= a.d WHERE a.n >= 3),
+       """ + DRAWN.format(most=30, least=4),
+)
+def draw_subsequences(v):
+    return Q.draw_subsequences(v.seqs, 3, 4, max_subseqs=30, min_subseqs=4, seed=7)
+
+
+@query(
+    "draw_pairs",
+    """WITH s AS (SELECT project_id, frame_idx AS f, CASE WHEN count(*) OVER w < 5 THEN 10000 ELSE 2 END AS d
+                  FROM seqs WINDOW w AS (PARTITION BY project_id)),
+       c AS (SELECT a.project_id, [a.f, b.f] AS frames FROM s a JOIN s b ON a.project_id = b.project_id AND a.f <> b.f AND abs(a.f - b.f) <= a.d),
+       """ + DRAWN.format(most=12, least=5),
+)
+def draw_pairs(v):
+    return Q.draw_subsequences(v.seqs, 2, 2, max_subseqs=12, min_subseqs=5, seed=7)
+
+
 BYTE = "CAST('0x' || substr(md5('11:{k}:' || project_id || ':' || pos), 1, 8) AS BIGINT) % 256"
 
 

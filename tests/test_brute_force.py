@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import permutations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from flatcel.operators import matching as M
@@ -321,3 +323,41 @@ def test_votes_at_low_temperature_and_all_masked(spark):
     assert votes[1, 6] > 0.999 and votes[2, 0] == 1.0
     weights = {r.pair_id: r.weights for r in M.masked_softmax(M.similarity(ref, tgt, 0.001), 0.001).collect()}
     assert weights[1][1] > 0.999 and abs(sum(weights[2]) - 1) < 1e-9
+
+
+def test_drawn_subsequences(spark):
+    border = 65536
+    rows = [("few", f) for f in (1, 9000, 10500, 30000)] + [("two", 5), ("two", 6), (None, 1), ("gap", None)]
+    rows += [("many", f) for f in (3, 4, 4, 6, 9, border - 2, border - 1, border, border + 2, border + 3, 2 * border)]
+    rows += [("less", f) for f in (-2, -1, 0, 1, 7)]
+    frames = spark.createDataFrame(rows, "project_id string, frame_idx int")
+
+    def tuples(name, n):
+        own = sorted({f for p, f in rows if p == name})
+        far = 10000 if len(own) < 5 else 3
+        return [t for t in permutations(own, n) if max(t) - min(t) <= far]
+
+    # With as many draws as there are tuples, every one comes exactly once.
+    got = Q.draw_subsequences(frames, 3, 3, max_subseqs=10_000).collect()
+    want = [(name, t) for name in ("few", "many", "less") for n in (1, 2, 3) for t in tuples(name, n)]
+    assert sorted((r.project_id, tuple(r.frames)) for r in got) == sorted(want)
+    assert sorted(r.draw for r in got if r.project_id == "few") == list(range(sum(p == "few" for p, _ in want)))
+    # Fewer draws are distinct tuples, and the same ones each time; pairs of two frames repeat.
+    some = [sorted((r.project_id, r.draw, tuple(r.frames)) for r in Q.draw_subsequences(frames, 2, 3, 7, 5).collect()) for _ in "ab"]
+    assert some[0] == some[1]
+    drawn = {p: [t for q, _, t in some[0] if q == p] for p in ("many", "two")}
+    assert len(drawn["many"]) == len(set(drawn["many"])) == 7 and set(drawn["many"]) <= set(tuples("many", 2))
+    assert len(drawn["two"]) == 5 and set(drawn["two"]) == {(5, 6), (6, 5)}
+    assert Q.draw_subsequences(frames.where("false"), 3, 3, 5).count() == 0
+    with pytest.raises(ValueError):
+        Q.draw_subsequences(frames, 3, 3, 4, 5)
+
+
+def test_draws_from_billions_of_tuples(spark):
+    frames = spark.range(2000).selectExpr("id % 2 as project_id", "id * 3 as frame_idx")
+    got = [tuple(r.frames) for r in Q.draw_subsequences(frames, 4, 600, 40, seed=3).collect()]
+    # Nearly all tuples within a hundred frames have length four.
+    assert len(got) == 80 and len(set(got)) == 80 and sum(len(t) == 4 for t in got) > 60
+    assert all(len(set(t)) == len(t) and max(t) - min(t) <= 600 for t in got)
+    smallest = sorted(min(t) for t in got)
+    assert smallest[0] < 600 and smallest[-1] > 4800  # from all over the sequence
