@@ -9,6 +9,8 @@ from flatcel.operators import diff as D
 from flatcel.operators import paths as V
 from flatcel.plans.adapters import VIEW_SQL
 from flatcel.plans.registry import query
+from flatcel.session import new_folder
+from flatcel.sources import bitmaps as B
 from flatcel.sources import images as I
 from flatcel.sources import projects as P
 
@@ -157,6 +159,76 @@ def to_seg_pixels(v):
     )
 
 
+# --- round trips through files: texts as images of 16 pixels a row, projects as files ------
+
+
+def image_folder(v) -> str:
+    """Every text as a bitmap file named by its document; zero bytes fill the last row."""
+    rows = F.ceil(F.octet_length("text") / 48).cast("int")
+    folder = new_folder(v.spark)
+    B.write_bitmaps(
+        v.table("documents").where("octet_length(text) > 0").select(
+            F.concat(F.lit("doc_"), "doc_id").alias("name"), rows.alias("h"), F.lit(16).alias("w"), F.lit(3).alias("n_channels"),
+            F.expr("rpad(encode(text, 'UTF-8'), cast(ceil(octet_length(text) / 48) * 48 as int), X'00')").alias("data"),
+        ),
+        folder,
+    )
+    return folder
+
+
+@query(
+    "image_strips",
+    f"""SELECT CAST(image_id AS INTEGER) AS frame_nr, (max(x) // 16 + 1) * 16 AS n, CAST(sum(b) FILTER (k = 2) AS BIGINT) AS r,
+               CAST(sum(b * (x % 16)) FILTER (k = 1) AS BIGINT) AS g, CAST(sum(b * (x // 16)) FILTER (k = 0) AS BIGINT) AS b
+        FROM ({BYTES.format(n=3)}) GROUP BY image_id""",
+)
+def image_strips(v):
+    strips = B.read_strips(v.spark, image_folder(v), strip_bytes=1 << 16)
+    return (
+        I.to_pixels(strips.withColumn("image_id", F.col("frame_nr")))
+        .groupBy(F.col("image_id").alias("frame_nr"))
+        .agg(
+            F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.col("g") * F.col("x")).alias("g"),
+            F.sum(F.col("b") * F.col("y")).alias("b"),
+        )
+    )
+
+
+@query(
+    "read_images",
+    """SELECT doc_id, CAST(rows AS INTEGER) AS h, 16 AS w, 3 AS n_channels, rpad(hex(encode(text)), CAST(rows * 96 AS INTEGER), '0') AS content, false AS is_corrupt
+       FROM (SELECT *, ceil(strlen(text) / 48.0) AS rows FROM documents) WHERE rows > 0""",
+)
+def read_images(v):
+    return I.read_images(v.spark, image_folder(v)).select(
+        F.regexp_extract("image_id", r"doc_(-?[0-9]+)\.bmp$", 1).cast("long").alias("doc_id"),
+        "h", "w", "n_channels", F.hex("data").alias("content"), "is_corrupt",
+    )
+
+
+@query(
+    "list_files",
+    """SELECT 'doc_' || doc_id || '.bmp' AS name, CAST(54 + 48 * ceil(strlen(text) / 48.0) AS BIGINT) AS length
+       FROM documents WHERE strlen(text) > 0 AND (doc_id % 10 = 7 OR doc_id % 100 = 17 OR doc_id % 10 = 3)""",
+)
+def list_files(v):
+    found = I.list_files(v.spark, image_folder(v), ["*7.bmp", "*17.bmp", "doc_*3.bmp"])
+    return found.select(N.basename(F.col("path")).alias("name"), "length")
+
+
+@query(
+    "read_projects",
+    """SELECT project_id, metadata, '0.' || (project_id % 5) || '.1' AS version, save_state, temp_images, document FROM sections""",
+)
+def read_projects(v):
+    folder = new_folder(v.spark) + "/projects"
+    P.write_projects(sections(v), folder)
+    return P.read_projects(v.spark, folder).select(
+        F.regexp_extract("file", r"project_id=([0-9]+)/", 1).cast("long").alias("project_id"),
+        "metadata", "version", "save_state", "temp_images", "document",
+    )
+
+
 # --- snapshots -----------------------------------------------------------------------
 
 VIEW_SQL["slots"] = """

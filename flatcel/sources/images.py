@@ -41,15 +41,16 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 def _unpack(images: DataFrame, channels: dict[int, int]) -> DataFrame:
     """One row per pixel with its bytes c0..c3 in stored order. Byte buffers are
-    turned into Arrow columns image by image; nothing is looped over per pixel."""
+    turned into Arrow columns image by image; nothing is looped over per pixel.
+    Strips of images (``strip_h`` rows from row ``y0`` on) are unpacked like images."""
     image_type = images.schema["image_id"].dataType.simpleString()
     schema = f"image_id {image_type}, y int, x int, n int, c0 int, c1 int, c2 int, c3 int"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("image_id")
-            for i, (h, w, n, data) in enumerate(
-                zip(*(batch.column(c).to_pylist() for c in ("h", "w", "n_channels", "data")))
+            for i, (y0, h, w, n, data) in enumerate(
+                zip(*(batch.column(c).to_pylist() for c in ("y0", "h", "w", "n_channels", "data")))
             ):
                 if n not in channels:
                     raise ValueError(f"image with {n} channels")
@@ -59,13 +60,14 @@ def _unpack(images: DataFrame, channels: dict[int, int]) -> DataFrame:
                 full[:, :n] = flat
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([ids[i].as_py()] * (h * w), type=ids.type), pa.array(place // w), pa.array(place % w),
+                        pa.array([ids[i].as_py()] * (h * w), type=ids.type), pa.array(place // w + np.int32(y0)), pa.array(place % w),
                         pa.array(np.full(h * w, n, dtype=np.int32)), *[pa.array(full[:, k]) for k in range(4)],
                     ],
                     names=["image_id", "y", "x", "n", "c0", "c1", "c2", "c3"],
                 )
 
-    return images.select("image_id", "h", "w", "n_channels", "data").mapInArrow(rows, schema)
+    rows_of = ("y0", F.col("strip_h").alias("h")) if "strip_h" in images.columns else (F.lit(0).alias("y0"), "h")
+    return images.select("image_id", *rows_of, "w", "n_channels", "data").mapInArrow(rows, schema)
 
 
 def to_pixels(images: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import struct
 import zlib
 
+import pytest
 from flatcel.functions.color import dense_to_rgba, label_to_rgba
+from flatcel.sources import bitmaps as B
 from flatcel.sources import images as I
 from flatcel.sources import projects as P
 from flatcel.streaming.imports import store_batches
@@ -38,6 +40,95 @@ def test_images(spark, tmp_path):
     assert I.list_files(spark, str(tmp_path), ["a_*.png", "*07A.png", "b*"]).count() == 2
 
 
+def bitmaps(spark, sizes, names=None):
+    rows = []
+    for k, (h, w, n) in enumerate(sizes):
+        data = bytearray((7 * i + k) % 251 for i in range(h * w * n))
+        rows.append(((names or {}).get(k, f"f_{k:03d}"), h, w, n, data, "extra"))
+    return spark.createDataFrame(rows, "name string, h int, w int, n_channels int, data binary, path string")
+
+
+def whole(strips):
+    """Images put together from their strips, which must neither overlap nor leave gaps."""
+    out = {}
+    for r in sorted(strips.collect(), key=lambda r: (r.path, r.y0)):
+        got = out.setdefault(r.name, [r.h, r.w, r.n_channels, 0, b""])
+        assert got[3] == r.y0 and len(r.data) == r.strip_h * r.w * r.n_channels
+        got[3] += r.strip_h
+        got[4] += bytes(r.data)
+    return {k: (h, w, n, data) for k, (h, w, n, rows, data) in out.items() if rows == h}
+
+
+def test_bitmap_strips(spark, tmp_path):
+    sizes = [(1, 1, 3), (40, 5, 3), (300, 7, 4), (3, 400, 3), (1, 3, 4)]
+    images = bitmaps(spark, sizes).repartition(3)
+    folder = str(tmp_path / "frames")
+    B.write_bitmaps(images, folder)
+    want = {r["name"] + ".bmp": (r.h, r.w, r.n_channels, bytes(r.data)) for r in images.collect()}
+    for strip_bytes in (100, 1000, 1 << 20):  # also strips shorter than a row
+        assert whole(B.read_strips(spark, folder, strip_bytes)) == want
+    assert B.read_strips(spark, folder, 1000).where("h = 300").count() > 5
+    pixels = I.to_pixels(B.read_strips(spark, folder, 500).where("not is_corrupt").withColumn("image_id", F.col("name")))
+    plain = I.to_pixels(images.withColumn("image_id", F.concat("name", F.lit(".bmp"))))
+    assert pixels.exceptAll(plain).count() == plain.exceptAll(pixels).count() == 0
+    # Spark's own image source reads the same files.
+    own = {r.image_id.rsplit("/", 1)[-1]: bytes(r.data) for r in I.read_images(spark, folder).where("n_channels = 3").collect()}
+    assert own["f_003.bmp"] == want["f_003.bmp"][3]
+
+
+def test_bitmap_commits(spark, tmp_path):
+    folder = str(tmp_path / "frames")
+    names = lambda: sorted(r.name for r in B.read_strips(spark, folder).collect())
+    B.write_bitmaps(bitmaps(spark, [(2, 2, 3)] * 3), folder)
+    B.write_bitmaps(bitmaps(spark, [(2, 2, 3)], {0: "later"}), folder)
+    assert names() == ["f_000.bmp", "f_001.bmp", "f_002.bmp", "later.bmp"]
+    # A failed job and a task that wrote before it was lost leave nothing to see.
+    with pytest.raises(Exception, match="no file can have the name"):
+        B.write_bitmaps(bitmaps(spark, [(2, 2, 3)] * 2, {0: "good", 1: "a/b"}).coalesce(1), folder)
+    job = next((tmp_path / "frames").glob("job-*"))
+    (job / "part-0-lost").mkdir()
+    (job / "part-0-lost" / "twice.bmp").write_bytes(B.encode(1, 1, 3, b"abc"))
+    assert len(names()) == 4
+    B.write_bitmaps(bitmaps(spark, [(2, 2, 3)], {0: "only"}), folder, overwrite=True)
+    assert names() == ["only.bmp"]
+    B.write_bitmaps(bitmaps(spark, [(2, 2, 3)]).where("false"), folder, overwrite=True)
+    assert names() == []
+
+
+def test_bitmaps_of_others(spark, tmp_path):
+    # A folder without commits: bottom row first, junk, cut off, empty.
+    good = bytearray(B.encode(2, 1, 3, b"abcdef"))
+    good[22:26] = struct.pack("<i", 2)
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "up_012b.bmp").write_bytes(good)
+    (tmp_path / "junk_3.bmp").write_bytes(b"nothing")
+    (tmp_path / "cut.bmp").write_bytes(B.encode(9, 9, 4, bytes(324))[:-1])
+    (tmp_path / "none.bmp").write_bytes(b"")
+    (tmp_path / "other.png").write_bytes(b"")
+    rows = {r.name: r for r in B.read_strips(spark, str(tmp_path), 64).collect()}
+    assert set(rows) == {"up_012b.bmp", "junk_3.bmp", "cut.bmp", "none.bmp"}
+    assert [n for n, r in rows.items() if not r.is_corrupt] == ["up_012b.bmp"]
+    assert bytes(rows["up_012b.bmp"].data) == b"defabc" and rows["up_012b.bmp"].frame_nr == 12
+    assert rows["junk_3.bmp"].frame_nr == 3 and rows["cut.bmp"].data is None
+
+
+def test_bitmap_filters(spark, tmp_path):
+    folder = str(tmp_path / "frames")
+    B.write_bitmaps(bitmaps(spark, [(2, 2, 3)] * 20), folder)
+    key = "spark.sql.python.filterPushdown.enabled"
+    tests = ("frame_nr >= 3 and frame_nr < 6", "name = 'f_007.bmp'", "frame_nr in (1, 19, 77) and h = 2", "frame_nr > 18 or h = 1")
+    plain = [sorted(r.name for r in B.read_strips(spark, folder).where(t).collect()) for t in tests]
+    spark.conf.set(key, "true")
+    try:
+        # One image a task, so that the number of tasks tells how many files are opened.
+        found = [B.read_strips(spark, folder, 16).where(t) for t in tests]
+        assert [sorted(r.name for r in f.collect()) for f in found] == plain
+        assert [f.rdd.getNumPartitions() for f in found] == [3, 1, 2, 20]
+    finally:
+        spark.conf.unset(key)
+    assert [len(p) for p in plain] == [3, 1, 2, 1]
+
+
 def test_projects_round_trip(spark, tmp_path):
     rows = [(1, '[{"version":"0.4.0"}]', '{"layers":{}}', "[]", '{"cels":[]}'), (2, '[{"version":"0.2.9"}]', "{}", "[]", None)]
     sections = spark.createDataFrame(rows, "project_id int, metadata string, save_state string, temp_images string, document string")
