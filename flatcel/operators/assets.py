@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from flatcel.functions.names import extension, frame_verdict, timeline_frame_nr, IMAGE_EXTENSIONS
 from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
+from flatcel.session import cut_lineage
+
+# Files per leaf of a manifest tree; a node has sixteen children.
+LEAF_FILES = 16
 
 
 def store_images(incoming: DataFrame, existing: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +106,62 @@ def need_verification(disk: DataFrame, manifest: DataFrame, memo: DataFrame) ->
 
 def manifest_hash(manifest: DataFrame, key: str = "platform") -> DataFrame:
     """Order-free fingerprint of a file set. The result is one text cell per
-    set, so a set fits a cell by definition."""
+    set, so it serves sets that fit a cell; ``manifest_tree`` has no such bound."""
     entry = F.concat_ws(":", "file", "sha256")
     return manifest.groupBy(key).agg(F.array_join(F.sort_array(F.collect_list(entry)), "|").alias("fingerprint"))
 
 
+def manifest_tree(manifest: DataFrame, key: str = "platform", depth: int | None = None) -> DataFrame:
+    """A hash tree over each file set: (key, prefix, files, digest), the root having the prefix "".
+
+    Files are dealt to leaves by the first digits of their hashed names, so a leaf holds some
+    ``LEAF_FILES`` of them at any size of the set; a node's digest is that of its up to sixteen
+    children. Order and placement of the rows do not matter, equal rows count as one entry with its
+    number, nulls count as empty text. ``depth`` (digits of a leaf's prefix) follows the number of
+    entries of a set unless given; sets to be compared should be built with the same.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    entries = manifest.groupBy(
+        F.col(key), F.sha2(text("file"), 256).alias("__name"), F.sha2(F.concat_ws(":", text("file"), text("sha256")), 256).alias("__entry")
+    ).agg(F.count(F.lit(1)).alias("__copies"))
+    if depth is None:
+        crowd = with_group_facts(entries, [key], {"__entries": F.count(F.lit(1))})
+        above = F.expr(f"(__entries - 1) div {LEAF_FILES}")
+        crowd = crowd.withColumn("__depth", F.when(above > 0, F.length(F.hex(above))).otherwise(0))
+    else:
+        crowd = entries.withColumn("__depth", F.lit(depth))
+    leaves = cut_lineage(
+        crowd.groupBy(key, F.expr("substring(__name, 1, __depth)").alias("prefix")).agg(
+            F.sum("__copies").alias("files"),
+            # Names are hashes: a leaf's entries are as few as the depth makes them.
+            F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "__entry", "__copies"))), ","), 256).alias("digest"),
+        )
+    )
+    level = leaves.agg(F.max(F.length("prefix"))).first()[0] or 0
+    nodes = leaves
+    children = leaves.where(F.length("prefix") == level)
+    for d in range(level - 1, -1, -1):
+        child = F.struct(F.col("prefix"), F.concat(F.substring("prefix", -1, 1), "digest").alias("line"))
+        parents = children.groupBy(key, F.substring("prefix", 1, d).alias("__p")).agg(
+            F.sum("files").alias("files"), F.sha2(F.array_join(F.sort_array(F.collect_list(child))["line"], ","), 256).alias("digest")
+        ).withColumnRenamed("__p", "prefix")
+        nodes = nodes.unionByName(parents)
+        children = parents.unionByName(leaves.where(F.length("prefix") == d))
+    return nodes.select(key, "prefix", "files", "digest")
+
+
+def changed_ranges(before: DataFrame, after: DataFrame, key: str = "platform") -> DataFrame:
+    """The deepest nodes of two trees of one depth that differ: (key, prefix). Only the files whose
+    hashed names begin with such a prefix need to be compared; equal sets give no row."""
+    a, b = (t.select(key, "prefix", F.col("digest").alias(n)) for t, n in ((before, "__a"), (after, "__b")))
+    same = a[key].eqNullSafe(b[key]) & (a["prefix"] == b["prefix"])
+    unlike = a.join(b, same, "full_outer").where(~F.col("__a").eqNullSafe(F.col("__b"))).select(
+        F.coalesce(a["prefix"], b["prefix"]).alias("prefix"), F.when(a["prefix"].isNull(), b[key]).otherwise(a[key]).alias(key)
+    )
+    depth = before.unionByName(after).groupBy(key).agg(F.max(F.length("prefix")).alias("__depth"))
+    return join_lookup(unlike, depth, [key], "inner", null_safe=True).where(F.length("prefix") == F.col("__depth")).select(key, "prefix")
+
+
 def importable(files: DataFrame) -> DataFrame:
     """Readable image files in name order, ignoring case."""
     return files.where(extension(F.col("name")).isin(*IMAGE_EXTENSIONS)).orderBy(F.upper("name"), "seq")

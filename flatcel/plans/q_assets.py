@@ -191,6 +191,52 @@ def manifest_hash(v):
     return A.manifest_hash(manifest(v))
 
 
+# A file per order, sets by order status.
+VIEW_SQL["shipped"] = """
+  SELECT 'order_' || o_orderkey || '.bin' AS file, md5(o_orderpriority || o_orderkey) AS sha256, o_orderstatus AS platform, o_orderkey % 900 AS bytes FROM orders"""
+
+
+def shipped(v):
+    return v.table("orders").selectExpr(
+        "concat('order_', o_orderkey, '.bin') as file", "md5(concat(o_orderpriority, o_orderkey)) as sha256",
+        "o_orderstatus as platform", "o_orderkey % 900 as bytes",
+    )
+
+
+# Leaves as deep as the set needs, then one level of parents after the other.
+TREE = """e AS (SELECT platform, sha256(file) AS name, sha256(file || ':' || sha256) AS entry, count(*) AS copies FROM {files} GROUP BY ALL),
+       g AS (SELECT *, {depth} AS depth FROM (SELECT *, (count(*) OVER (PARTITION BY platform) - 1) // 16 AS above FROM e)),
+       l AS (SELECT platform, left(name, depth) AS prefix, depth, CAST(sum(copies) AS BIGINT) AS files,
+                    sha256(string_agg(entry || ':' || copies, ',' ORDER BY entry || ':' || copies)) AS digest FROM g GROUP BY ALL),
+       n6 AS (SELECT platform, prefix, files, digest FROM l WHERE depth >= 6),
+       """ + ",\n       ".join(
+    f"""n{d} AS (SELECT platform, prefix, files, digest FROM l WHERE depth = {d} UNION ALL
+               SELECT platform, left(prefix, {d}), CAST(sum(files) AS BIGINT), sha256(string_agg(right(prefix, 1) || digest, ',' ORDER BY prefix)) FROM n{d + 1} GROUP BY ALL)"""
+    for d in range(5, -1, -1)
+)
+
+
+@query(
+    "manifest_tree",
+    "WITH " + TREE.format(files="shipped", depth="CASE WHEN above > 0 THEN len(format('{:x}', above)) ELSE 0 END")
+    + " SELECT * FROM (" + " UNION ALL ".join(f"FROM n{d}" for d in range(7)) + ")",
+)
+def manifest_tree(v):
+    return A.manifest_tree(shipped(v))
+
+
+@query(
+    "manifest_changes",
+    """WITH a AS (SELECT platform, left(sha256(file), 3) AS prefix, list_sort(list(file || sha256)) AS x FROM shipped GROUP BY ALL),
+            b AS (SELECT platform, left(sha256(file), 3) AS prefix, list_sort(list(file || CASE WHEN bytes % 290 = 3 THEN sha256 || 'x' ELSE sha256 END)) AS x
+                  FROM shipped WHERE bytes % 310 <> 5 GROUP BY ALL)
+       SELECT platform, prefix FROM a FULL JOIN b USING (platform, prefix) WHERE a.x IS DISTINCT FROM b.x""",
+)
+def manifest_changes(v):
+    new = shipped(v).where("bytes % 310 <> 5").withColumn("sha256", F.expr("if(bytes % 290 = 3, sha256 || 'x', sha256)"))
+    return A.changed_ranges(A.manifest_tree(shipped(v), depth=3), A.manifest_tree(new, depth=3))
+
+
 @query(
     "frame_numbers",
     r"""SELECT seq, name, TRY_CAST(nullif(regexp_extract(name, '([0-9]+)[a-zA-Z]?\.png', 1), '') AS INTEGER) AS frame_idx,

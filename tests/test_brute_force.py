@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
+from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flatcel.operators import assets as A
 from flatcel.operators import matching as M
 from flatcel.operators import pixels as X
 from flatcel.operators import regions as R
@@ -361,3 +364,50 @@ def test_draws_from_billions_of_tuples(spark):
     assert all(len(set(t)) == len(t) and max(t) - min(t) <= 600 for t in got)
     smallest = sorted(min(t) for t in got)
     assert smallest[0] < 600 and smallest[-1] > 4800  # from all over the sequence
+
+
+def test_manifest_tree(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+
+    def by_hand(files, depth):
+        entries = Counter((sha(f or ""), sha(f"{f or ''}:{d or ''}")) for f, d in files)
+        if depth is None:
+            above = (len(entries) - 1) // 16
+            depth = len(f"{above:x}") if above else 0
+        level = {}
+        for (name, entry), n in entries.items():
+            level.setdefault(name[:depth], []).append((f"{entry}:{n}", n))
+        level = {p: (sum(n for _, n in x), sha(",".join(sorted(e for e, _ in x)))) for p, x in level.items()}
+        out = dict(level)
+        for d in range(depth - 1, -1, -1):
+            up = {}
+            for p in sorted(level):
+                up.setdefault(p[:d], []).append(p)
+            level = {q: (sum(level[p][0] for p in ps), sha(",".join(p[-1] + level[p][1] for p in ps))) for q, ps in up.items()}
+            out |= level
+        return out
+
+    sets = {
+        "one": [("a", "1")],
+        "sixteen": [(f"f{i}", "x") for i in range(16)],
+        "more": [(f"f{i}", "x") for i in range(17)],
+        "deep": [(f"g{i}", str(i % 7)) for i in range(300)] + [("g1", "1")] * 3 + [("g1", "2"), (None, "3"), ("g2", None)],
+        None: [("a", "1"), ("b", "2")],
+    }
+    rows = [(k, f, d, "x", 1) for k, files in sets.items() for f, d in files]
+    frame = lambda r: spark.createDataFrame(r, "platform string, file string, sha256 string, prefix string, files int")
+
+    def tree(r, depth=None):
+        return sorted((str(x.platform), x.prefix, x.files, x.digest) for x in A.manifest_tree(frame(r), depth=depth).collect())
+
+    for depth in (None, 0, 2):
+        want = sorted((str(k), p, n, d) for k, files in sets.items() for p, (n, d) in by_hand(files, depth).items())
+        assert tree(rows, depth) == tree(rows[::-1], depth) == want
+    assert tree([]) == []
+    # One file changed, one gone, one set gone: only their ranges.
+    new = [r if r[1] != "g5" else (*r[:2], "other", *r[3:]) for r in rows if r[1] != "g9" and r[0] != "one"]
+    found = A.changed_ranges(A.manifest_tree(frame(rows), depth=2), A.manifest_tree(frame(new), depth=2))
+    want = {("deep", sha("g5")[:2]), ("deep", sha("g9")[:2]), ("one", sha("a")[:2])}
+    assert sorted((r.platform, r.prefix) for r in found.collect()) == sorted(want)
+    same = A.changed_ranges(A.manifest_tree(frame(rows), depth=2), A.manifest_tree(frame(rows), depth=2))
+    assert same.count() == 0
