@@ -6,6 +6,8 @@ stores the postings (term, document, position) of these leading terms; those of
 rarest term carry the words around them. A window occurs where the offset-adjusted
 lists of its two leading terms meet at one start, and the words around agree with the
 whole window. Work follows the lengths of the rarest lists, not those of common words.
+A window is near where the two lists meet within a few words and every word of the window
+stands at most ``slop`` words from its place.
 
 Small sides (test terms, windows) are broadcast after their rows are counted, and
 joined by shuffle beyond ``common.BROADCAST_ROWS``.
@@ -19,6 +21,8 @@ from flatcel.llm.common import small_side
 from flatcel.session import cut_lineage
 
 WINDOW = 10
+# Words by which a word may stand from its place in a near match.
+SLOP = 2
 # A word: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of the text with A-Z lower-cased.
 WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]++"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -182,51 +186,126 @@ def proximity_matches(index: DataFrame, leads: DataFrame, slop: int) -> DataFram
     )
 
 
+def _each_near_its_place(words: Column, around: Column, at: Column, slop: int) -> Column:
+    """Whether some start, at most ``slop`` words from index ``at`` of ``around``, has every one of
+    ``words`` at most ``slop`` words from its place."""
+
+    def fits(shift: Column) -> Column:
+        def close(word: Column, k: Column) -> Column:
+            place = at + shift + k
+            first = F.greatest(place - slop, F.lit(0))
+            return F.array_contains(F.slice(around, first + 1, F.greatest(place + slop - first + 1, F.lit(0))), word)
+
+        return F.forall(F.transform(words, close), lambda x: x)
+
+    return F.exists(F.sequence(F.lit(-slop), F.lit(slop)), fits)
+
+
+def near_matches(index: DataFrame, leads: DataFrame, slop: int = SLOP, reach: int = WINDOW + 2 * SLOP) -> DataFrame:
+    """(id, k, win, start, n, exact): near matches of windows of n words. ``start`` follows from the
+    posting of the rarest term; ``exact`` marks occurrences word by word.
+
+    A window is near at s if each of its words, say the i-th from 0, stands at a word from
+    s + i - slop to s + i + slop; s may lie before the text. A word may serve for
+    two equal ones. The starts that two leading terms propose then differ by 2 slop at most,
+    which the lists are met by; the words around settle the rest. The index must
+    reach 2 slop words farther than the window.
+    """
+    rare = _starts(index.where("around is not null"), leads, "t1", "o1", "words", "t2")
+    width = 2 * slop + 1
+    second = _starts(index.drop("around"), leads, "t2", "o2").select(
+        F.col("id").alias("id2"),
+        F.col("k").alias("k2"),
+        F.col("win").alias("win2"),
+        F.col("start").alias("start2"),
+        F.explode(F.array(*[F.floor(F.col("start") / width) + d for d in (-1, 0, 1)])).alias("bin2"),
+    )
+    close = (
+        F.col("id").eqNullSafe(F.col("id2"))
+        & (F.col("k") == F.col("k2"))
+        & (F.col("win") == F.col("win2"))
+        & (F.floor(F.col("start") / width) == F.col("bin2"))
+        & (F.abs(F.col("start") - F.col("start2")) <= 2 * slop)
+    )
+    met = rare.where("t2 is not null").join(second, close, "left_semi").unionByName(rare.where("t2 is null"))
+    # The posting stands at index least(pos, reach - 1) of ``around``.
+    cut = met.withColumn("a", F.split("around", " ")).withColumn(
+        "at", F.least(F.col("start") + F.col("o1"), F.lit(reach - 1)) - F.col("o1")
+    )
+    same = F.slice("a", F.greatest(F.col("at") + 1, F.lit(1)), F.size("words")) == F.col("words")
+    return (
+        cut.where(F.size(F.array_except("words", "a")) == 0)
+        .withColumn("exact", (F.col("start") >= 0) & same)
+        .where(F.col("exact") | _each_near_its_place(F.col("words"), F.col("a"), F.col("at"), slop))
+        .select("id", "k", "win", "start", F.size("words").alias("n"), "exact")
+    )
+
+
 def build_index(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    reach: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(windows of the items, their leading terms, stored postings over ``docs``)."""
+    """(windows of the items, their leading terms, stored postings over ``docs``). ``reach``:
+    how far the words around a posting go, by default as far as a window."""
     texts = keyed_texts(docs, id_col, text_col)
     windows = cut_lineage(item_windows(items, window))
     terms = windows.select(F.explode("words").alias("term")).distinct()
     frequency = cut_lineage(document_frequency(texts, terms))
     leads = cut_lineage(lead_terms(windows, frequency))
-    return windows, leads, cut_lineage(postings(texts, leads, window))
+    return windows, leads, cut_lineage(postings(texts, leads, reach or window))
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    slop: int = SLOP,
 ) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, near_sha256) for every
+    row of ``docs``.
 
-    A word is hit inside any occurrence of an item window. Null and empty texts have no
+    A word is hit inside any occurrence of an item window. ``n_near`` counts the items with a
+    window that is near somewhere (``near_matches``), exact ones included; ``near_sha256`` is
+    to them what ``items_sha256`` is to the items of exact occurrences. Null and empty texts have no
     words and no hits; items without words have no windows; an item of fewer words than
     a window is one window. Rows that repeat id and text get equal results, rows that
     share an id but not the text are judged apart, null ids stay. Null item ids are
     not listed. Other columns are not looked at; an empty table gives an empty result,
     no items give no hits.
     """
-    windows, leads, index = build_index(docs, items, window, id_col, text_col)
+    reach = window + 2 * slop
+    windows, leads, index = build_index(docs, items, window, id_col, text_col, reach)
     # Repeated rows bring repeated postings: one match each is enough.
-    found = cut_lineage(phrase_matches(index, leads, window).distinct())
+    found = cut_lineage(near_matches(index, leads, slop, reach).distinct())
     hit = (
-        found.select("id", "k", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("w"))
+        found.where("exact").select("id", "k", F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("w"))
         .distinct()
         .groupBy("id", "k")
         .agg(F.count(F.lit(1)).alias("n_hit"))
     )
+    item = F.col("item_id").cast("string")  # at most all items in one row
     held = (
-        found.select("id", "k", "win")
-        .distinct()
+        found.groupBy("id", "k", "win")
+        .agg(F.max("exact").alias("exact"))
         .join(small_side(windows.select("win", "item_id").distinct()), "win")
         .groupBy("id", "k")
-        .agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))  # at most all items
+        .agg(
+            F.sort_array(F.collect_set(F.when(F.col("exact"), item))).alias("items"),
+            F.sort_array(F.collect_set(item)).alias("near"),
+        )
     )
-    per_text = hit.join(held, hit["id"].eqNullSafe(held["id"]) & (hit["k"] == held["k"]), "left").select(
-        hit["id"].alias("id2"), hit["k"].alias("k2"), "n_hit", "items"
+    per_text = held.join(hit, hit["id"].eqNullSafe(held["id"]) & (hit["k"] == held["k"]), "left").select(
+        held["id"].alias("id2"), held["k"].alias("k2"), "n_hit", "items", "near"
     )
     counted = keyed_texts(docs, id_col, text_col).select("id", "k", F.size(raw_words(F.col("text"))).cast("long").alias("n_words"))
-    items_of = F.coalesce("items", F.expr("cast(array() as array<string>)"))
+    none = F.expr("cast(array() as array<string>)")
+    items_of, near_of = F.coalesce("items", none), F.coalesce("near", none)
     return counted.join(
         per_text, counted["id"].eqNullSafe(per_text["id2"]) & (counted["k"] == per_text["k2"]), "left"
     ).select(
@@ -236,6 +315,8 @@ def decontaminate(
         F.size(items_of).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_of, ","), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        F.size(near_of).cast("long").alias("n_near"),
+        F.sha2(F.array_join(near_of, ","), 256).alias("near_sha256"),
     )
 
 

@@ -217,10 +217,22 @@ hits AS (SELECT doc_id, i, n, item_id FROM
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM
             (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM hits)) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list FROM
-          (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+          (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+places AS (SELECT doc_id, p, w[p] AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+df AS (SELECT t, count(*) AS c FROM places GROUP BY t),
+anchor AS (SELECT words, t, o FROM (SELECT words, words[o] AS t, o FROM
+             (SELECT words, unnest(range(1, len(words) + 1)) AS o FROM (SELECT DISTINCT words FROM win))) JOIN df USING (t)
+           QUALIFY row_number() OVER (PARTITION BY words ORDER BY c, o) = 1),
+met AS (SELECT doc_id, words, w[greatest(p - 13, 1):p + 13] AS a, least(p, 14) - o AS s
+        FROM anchor JOIN places USING (t) JOIN d USING (doc_id)),
+near AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met JOIN win USING (words)
+         WHERE list_has_all(a, words) AND len(list_filter(range(-2, 3), x -> len(list_filter(range(1, len(words) + 1), k ->
+           list_contains(a[greatest(s + x + k - 2, 1):greatest(s + x + k + 2, 0)], words[k]))) = len(words))) > 0),
+nears AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS list FROM near GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(i.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id)
+       sha256(coalesce(i.list, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+       coalesce(m.n_near, 0)::BIGINT AS n_near, sha256(coalesce(m.list, '')) AS near_sha256
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN items i USING (doc_id) LEFT JOIN nears m USING (doc_id)
 """
 
 _TERMS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"

@@ -161,7 +161,7 @@ def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
-def contamination_by_hand(docs, items, window=10):
+def contamination_by_hand(docs, items, window=10, slop=2):
     windows = {}
     for i, t in items:
         w = words_of(t)
@@ -169,15 +169,21 @@ def contamination_by_hand(docs, items, window=10):
             windows.setdefault(tuple(w[p : p + window]), set()).add(i)
     out = []
     for i, t in docs:
-        w, hit, found = words_of(t), set(), set()
+        w, hit, found, near = words_of(t), set(), set(), set()
         for n in {len(x) for x in windows}:
             for p in range(len(w) - n + 1):
                 key = tuple(w[p : p + n])
                 if key in windows:
                     hit.update(range(p, p + n))
                     found |= windows[key]
-        names = ",".join(sorted(map(str, found)))
-        out.append((i or 0, len(w), len(hit), len(found), hashlib.sha256(names.encode()).hexdigest(), bool(hit)))
+        for key, of in windows.items():
+            if any(
+                all(x in w[max(s + k - slop, 0) : max(s + k + slop + 1, 0)] for k, x in enumerate(key))
+                for s in range(-slop, len(w) + slop)
+            ):
+                near |= of
+        digest = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
+        out.append((i or 0, len(w), len(hit), len(found), digest(found), bool(hit), len(near), digest(near)))
     return sorted(out)
 
 
@@ -194,6 +200,12 @@ def exam(spark):
             t += " - " + rng.choice(items[:20])[1].upper().replace("É", "É") + "! " + text(5)
         docs.append((i, t))
     docs += [(100, None), (101, ""), (102, "ONE, two x. Three"), (103, "ä " * 40), (None, items[0][1]), (None, items[1][1])]
+    for i in range(200, 240):  # items with words dropped, put in and moved
+        w = words_of(rng.choice(items[:20])[1])
+        for _ in range(i % 6):
+            p = rng.randrange(len(w))
+            w[p : p + 2] = rng.choice([w[p : p + 1], ["new", *w[p : p + 2]], w[p : p + 2][::-1]])
+        docs.append((i, " ".join(w)))
     docs += [docs[0], docs[0]]
     return docs, items, spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, win string")
 
@@ -211,6 +223,19 @@ def test_contamination_without_broadcast(spark, exam, monkeypatch):
     assert sorted((r[0] or 0, *r[1:]) for r in got.collect()) == contamination_by_hand(docs, items)
 
 
+def test_near_items_beyond_exact_ones(spark, exam):
+    docs, items, _ = exam
+    rows = contamination_by_hand(docs, items)
+    assert sum(r[6] > r[3] for r in rows) > 5 and any(r[6] > 0 and r[2] == 0 for r in rows)
+
+
+@pytest.mark.parametrize("slop", [0, 1])
+def test_contamination_at_other_slops(spark, exam, slop):
+    docs, items, table = exam
+    got = D.decontaminate(frame(spark, docs), table, slop=slop)
+    assert sorted((r[0] or 0, *r[1:]) for r in got.collect()) == contamination_by_hand(docs, items, slop=slop)
+
+
 def test_drop_contaminated(spark, exam):
     docs, items, table = exam
     clean = sorted(r[0] for r in contamination_by_hand(docs, items) if not r[5])
