@@ -226,7 +226,7 @@ anchor AS (SELECT words, t, o FROM (SELECT words, words[o] AS t, o FROM
 met AS (SELECT doc_id, words, w[greatest(p - 13, 1):p + 13] AS a, least(p, 14) - o AS s
         FROM anchor JOIN places USING (t) JOIN d USING (doc_id)),
 near AS (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met JOIN win USING (words)
-         WHERE list_has_all(a, words) AND len(list_filter(range(-2, 3), x -> len(list_filter(range(1, len(words) + 1), k ->
+         WHERE list_has_all(a, words) AND len(list_filter(range(-2, 3), lambda x: len(list_filter(range(1, len(words) + 1), lambda k:
            list_contains(a[greatest(s + x + k - 2, 1):greatest(s + x + k + 2, 0)], words[k]))) = len(words))) > 0),
 nears AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS list FROM near GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_hit, coalesce(i.n_items, 0)::BIGINT AS n_items,
