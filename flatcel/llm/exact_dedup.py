@@ -269,7 +269,11 @@ def exact_dedup(
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns, once each."""
+    """The rows of ``docs`` that stay, with all their columns, once each.
+
+    Of rows that repeat id and text, the one whose other columns are smallest in their order
+    (nulls first) stays; these must be of types that sort. Null texts count as empty in
+    comparisons and stay null; an empty table gives an empty result."""
     owners = text_owners(docs, id_col, text_col).select(
         F.col("text_hash").alias("__hash"), F.col("keep_id").alias("__kept"), F.col("keep_chars").alias("__chars")
     )
@@ -281,4 +285,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         & F.col(id_col).eqNullSafe(F.col("__kept"))
         & (F.char_length(text) == F.col("__chars"))
     )
-    return docs.join(owners, owned, "left_semi").dropDuplicates([id_col, text_col])
+    stay = docs.join(owners, owned, "left_semi")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    if not others:
+        return stay.distinct()
+    least = stay.groupBy(id_col, text_col).agg(F.min(F.struct(*others)).alias("__least"))
+    return least.select(
+        *[F.col(c) if c in (id_col, text_col) else F.col("__least")[c].alias(c) for c in docs.columns]
+    )

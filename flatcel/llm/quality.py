@@ -207,20 +207,22 @@ def train(
     """Weights (line features, transitions, logistic step) from labelled documents.
 
     ``labels`` (id, label 0/1) is counted and thinned to about ``max_train_docs`` rows by a
-    hash of the id before it meets the texts. Shards with one class only are left out;
+    hash of the id before it meets the texts. Of texts that share an id, the one with the
+    smallest hash is used. Shards with one class only are left out;
     without any usable shard the weights are zero and every score is 0.5."""
     usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("label")).where(
         "id is not null and label in (0, 1)"
     ).groupBy("id").agg(F.max("label").alias("label"))
     sample = bounded_sample(usable, "id", max_train_docs)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").dropDuplicates(["id"])  # bounded by max_train_docs
+    of_id = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"]
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(of_id.alias("text"))  # bounded by max_train_docs
     shards = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(SHARDS)))
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         if frame["label"].nunique() < 2:
             return pd.DataFrame({"i": [], "w": [], "n": []}).astype({"i": int})
-        return _fit_shard(frame)
+        return _fit_shard(frame.sort_values("id", ignore_index=True))
 
     fitted = shards.groupBy("shard").applyInPandas(fit, "i int, w double, n double")
     mean = fitted.groupBy("i").agg((F.sum(F.col("w") * F.col("n")) / F.sum("n")).alias("w")).collect()

@@ -76,6 +76,15 @@ def test_drop_exact_shared_ids(spark):
     assert sorted((r.doc_id or 0, r.text) for r in left) == [(0, "q"), (3, "x y"), (4, "p q"), (7, "b"), (7, "w"), (9, " \n")]
 
 
+def test_drop_exact_picks_one_of_repeated_rows(spark):
+    rows = [(1, "a", "s2", 1), (1, "a", "s1", 9), (1, "a", "s1", 3), (2, "b", None, 1), (2, "b", "s", 0), (2, "B", "s", 0)]
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n int").repartition(3)
+        left = sorted(map(tuple, X.drop_exact_copies(docs).collect()), key=str)
+        assert left == [(1, "a", "s1", 3), (2, "B", "s", 0), (2, "b", None, 1)]
+
+
 def test_trie_terminals():
     trie = X.PatriciaTrie()
     keys = [b"", b"a", b"ab", b"abc", b"abd", b"b", b"abc" * 50, b"abc" * 49 + b"x"]

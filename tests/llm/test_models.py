@@ -85,6 +85,18 @@ def test_edge_texts(spark):
     assert quality.score(empty, weights).collect() == [] == model.score(empty).collect() == mixing_rows(spark, [])
 
 
+def test_quality_weights_do_not_follow_the_order_of_rows(spark):
+    """Ids with several texts: the same one is learned from, however rows are dealt."""
+    rows = [(i, f"{'a good long sentence about rivers.' if i % 2 else '$$ buy !!'} {i} {k}\nline {k}") for i in range(60) for k in range(3)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    weights = []
+    for parts in (1, 7):
+        rows.reverse()
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        weights.append(quality.train(docs, labels))
+    assert np.allclose(weights[0], weights[1], rtol=0, atol=1e-9) and np.abs(weights[0]).max() > 0.1
+
+
 def test_toxic_words_and_clean_texts(spark):
     docs = table(spark, SF, "documents")
     labels = table(spark, SF, "labels")
