@@ -28,6 +28,12 @@ def dot(a: Column, b: Column) -> Column:
     return array_sum(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Halves away from zero; what rounds to zero keeps its sign, as in IEEE arithmetic (Spark's own
+    ``round`` goes through decimals, which have no negative zero)."""
+    return F.round(F.abs(value), digits) * F.signum(value)
+
+
 def argmax(values: Column) -> Column:
     """Index of the first largest entry."""
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")

@@ -19,7 +19,7 @@ VIEW_SQL["preds"] = """
 
 
 def rounded(name, digits=6):
-    return F.transform(name, lambda e: F.round(e, digits)).alias(name)
+    return F.transform(name, lambda e: AR.rounded(e, digits)).alias(name)
 
 
 @query(
@@ -47,7 +47,7 @@ def similarity(v):
          SELECT *, row_number() OVER (PARTITION BY pair_id, tgt_seg ORDER BY sim DESC, ref_seg) AS rank FROM sims) WHERE rank <= 3""",
 )
 def top_matches(v):
-    return top(v.refs, v.tgts, 3).select("pair_id", "tgt_seg", "rank", "ref_seg", F.round("sim", 4).alias("sim"))
+    return top(v.refs, v.tgts, 3).select("pair_id", "tgt_seg", "rank", "ref_seg", AR.rounded(F.col("sim"), 4).alias("sim"))
 
 
 @query(
@@ -98,7 +98,7 @@ def cycle_consistency(v):
 def mean_cosine(v):
     a = v.refs.select("pair_id", "seg_id", F.col("features").alias("a"), (F.col("color_id") == -100).alias("is_padding"))
     b = v.tgts.select("pair_id", "seg_id", F.col("features").alias("b"))
-    return M.mean_cosine(a.join(b, ["pair_id", "seg_id"])).withColumn("mean_cosine", F.round("mean_cosine", 6))
+    return M.mean_cosine(a.join(b, ["pair_id", "seg_id"])).withColumn("mean_cosine", AR.rounded(F.col("mean_cosine"), 6))
 
 
 @query(

@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flatcel.functions import arrays as AR
 from flatcel.operators import assets as A
 from flatcel.operators import matching as M
 from flatcel.operators import pixels as X
@@ -411,3 +412,9 @@ def test_manifest_tree(spark):
     assert sorted((r.platform, r.prefix) for r in found.collect()) == sorted(want)
     same = A.changed_ranges(A.manifest_tree(frame(rows), depth=2), A.manifest_tree(frame(rows), depth=2))
     assert same.count() == 0
+
+
+def test_rounded_keeps_the_sign_of_zero(spark):
+    values = [-0.0000004, -0.0, 0.0, 0.0000004, -0.0000005, 1.2345675, -1.2345675, float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(AR.rounded(F.col("v"), 6).alias("r")).collect()
+    assert [str(r.r) for r in rows] == ["-0.0", "-0.0", "0.0", "0.0", "-1e-06", "1.234568", "-1.234568", "nan", "None"]
