@@ -192,9 +192,11 @@ def crop(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def _grid(sizes: DataFrame, h: str = "h", w: str = "w") -> DataFrame:
     """All pixel positions of images of the given sizes; rows are dealt out
-    before they unfold into columns."""
+    before they unfold into columns. Spark guesses the size before that, and would
+    send all pixels to the driver for a broadcast; hence the hint for the joins."""
     rows = sizes.withColumn("y", F.explode(F.sequence(F.lit(0), F.col(h) - 1)))
-    return rows.repartition("image_id", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.col(w) - 1)))
+    pixels = rows.repartition("image_id", "y").withColumn("x", F.explode(F.sequence(F.lit(0), F.col(w) - 1)))
+    return pixels.hint("merge")
 
 
 def uncrop(cropped: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -418,3 +418,12 @@ def test_rounded_keeps_the_sign_of_zero(spark):
     values = [-0.0000004, -0.0, 0.0, 0.0000004, -0.0000005, 1.2345675, -1.2345675, float("nan"), None]
     rows = spark.createDataFrame([(v,) for v in values], "v double").select(AR.rounded(F.col("v"), 6).alias("r")).collect()
     assert [str(r.r) for r in rows] == ["-0.0", "-0.0", "0.0", "0.0", "-1e-06", "1.234568", "-1.234568", "nan", "None"]
+
+
+def test_pixel_grids_are_not_broadcast(spark):
+    small = image(spark, [[1, 2], [3, 4]])
+    boxes = spark.createDataFrame([(1, 1, 3, 1, 3, 4, 4)], "image_id long, top int, bottom int, left int, right int, h int, w int")
+    out = X.uncrop(small, boxes)
+    assert as_array(out, (4, 4), "v").tolist() == [[1, 1, 2, 2], [1, 1, 2, 2], [3, 3, 4, 4], [3, 3, 4, 4]]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
