@@ -125,7 +125,9 @@ def scan(
     ]
     carried = scan(summary, keys, list(fine), coarser, **upper).select(*group, *upper)
     window = Window.partitionBy(*group).orderBy(*order)
-    joined = bucketed.join(carried, group)
+    # The window deals rows out by ``group`` anyway, so a join by sorting costs no further shuffle of
+    # them; with few rows to a bucket the summaries are too many for a broadcast.
+    joined = bucketed.join(carried.hint("merge"), group)
     return joined.withColumns(
         {
             name: _combine(c, _window_value(c, c.value, window), F.col(f"__c_{name}"))

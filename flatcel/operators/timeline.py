@@ -33,7 +33,7 @@ def with_drawing(frames: DataFrame) -> DataFrame:
         F.col("image_id").alias("__linked"),
     )
     return (
-        frames.join(linked, FRAME, "left")
+        frames.join(linked.hint("merge"), FRAME, "left")  # as many rows as frames: no broadcast
         .withColumn(
             "drawing",
             F.when(F.col("image_id").isNotNull(), F.concat(F.lit("own:"), "image_id")).otherwise(
@@ -52,7 +52,7 @@ def block_start(frames: DataFrame, drawing: str = "image_id") -> DataFrame:
         "project_id", "layer", (F.col("frame_nr") + 1).alias("frame_nr"), F.col(drawing).alias("__prev")
     )
     d = F.col(drawing)
-    flagged = frames.join(previous, FRAME, "left").withColumn(
+    flagged = frames.join(previous.hint("merge"), FRAME, "left").withColumn(
         "__start", F.when(d.isNotNull() & ~F.coalesce(d == F.col("__prev"), F.lit(False)), F.col("frame_nr"))
     )
     scanned = SC.scan(

@@ -112,3 +112,11 @@ def test_rounds_leave_no_files(spark, monkeypatch):
     out = components(edges)
     assert out.where("component <> 0").count() == 0
     assert len(set(session._FOLDERS) - before) == 1
+
+
+def test_summaries_of_buckets_are_not_broadcast(spark):
+    rows = spark.range(1000).selectExpr("id as k", "cast(0 as int) as y")
+    out = SC.scan(rows, ["k"], ["y"], SC.by_number("y"), n=SC.running_count())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert out.agg(F.sum("n")).first()[0] == 1000
