@@ -55,9 +55,10 @@ def plan_export(frames: DataFrame, settings: DataFrame, swatches: DataFrame) ->
     )
     # Passes are handed to each block of frames, never to a project as a whole.
     passes = flat.unionByName(split).join(blocks, "project_id")
+    # Frames get their images before they are multiplied by the passes.
     planned = (
-        numbers.join(passes, ["project_id", "block"])
-        .join(cel_at(frames), ["project_id", "frame_nr"], "left")
+        numbers.join(cel_at(frames), ["project_id", "frame_nr"], "left")
+        .join(passes, ["project_id", "block"])
         .select("project_id", "frame_nr", "pass", "line_id", "color_id", F.lit(None).cast("string").alias("error"))
     )
     failed = state.where("error is not null").select(

@@ -427,3 +427,18 @@ def test_pixel_grids_are_not_broadcast(spark):
     assert as_array(out, (4, 4), "v").tolist() == [[1, 1, 2, 2], [1, 1, 2, 2], [3, 3, 4, 4], [3, 3, 4, 4]]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_images_are_found_before_passes_multiply_frames(spark):
+    from flatcel.operators import export as E
+
+    frames = spark.createDataFrame(
+        [(1, "colorLayer1", 1, "c", True, True)],
+        "project_id long, layer string, frame_nr int, image_id string, is_original boolean, is_selected boolean",
+    )
+    settings = spark.createDataFrame([(1, True, True, True)], "project_id long, line_visible boolean, color_visible boolean, separated boolean")
+    swatches = spark.createDataFrame([(1, 0), (1, 1)], "project_id long, pos int")
+    plan = E.plan_export(frames, settings, swatches)
+    assert sorted((r.frame_nr, r["pass"], r.color_id) for r in plan.collect()) == [(1, 0, "c"), (1, 1, "c")]
+    joins = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "block" in joins[0]
