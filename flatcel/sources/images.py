@@ -4,22 +4,77 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import quote
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flatcel.functions.names import basename, frame_idx
+from flatcel.session import cut_lineage
+
+# Rows of a batch of listed names.
+LISTED_ROWS = 10_000
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's file sources pass over."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def _opened(path: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's store and path of a qualified path."""
+    scheme, rest = path.split(":", 1)
+    return fs.FileSystem.from_uri(f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length, millis, is_folder) of what lies right in the folders of the rows."""
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, root = _opened(folder)
+            found = [i for i in store.get_file_info(fs.FileSelector(root)) if not _hidden(i.base_name)]
+            for start in range(0, len(found), LISTED_ROWS):
+                part = found[start : start + LISTED_ROWS]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": pa.array([f"{folder.rstrip('/')}/{i.base_name}" for i in part], pa.string()),
+                        "length": pa.array([i.size for i in part], pa.int64()),
+                        "millis": pa.array([i.mtime_ns and i.mtime_ns // 1_000_000 for i in part], pa.int64()),
+                        "is_folder": pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()),
+                    }
+                )
 
 
 def list_files(spark: SparkSession, folder: str, patterns: list[str]) -> DataFrame:
-    """Files below a folder whose names match any glob, each once."""
-    found = [
-        spark.read.format("binaryFile").option("pathGlobFilter", p).option("recursiveFileLookup", True).load(folder)
-        .select("path", "length", "modificationTime")
-        for p in patterns
-    ]
-    return reduce(DataFrame.unionByName, found).dropDuplicates(["path"])
+    """Files below a folder whose names match any glob, each once.
+
+    Tasks list the folders, level by level; the driver never holds the names. That takes a store
+    that pyarrow can open (local and shared folders, HDFS, object stores). Others are listed by
+    Spark's file source, which does keep all names in the driver."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    regex = "|".join(f"(?:{jvm.org.apache.hadoop.fs.GlobPattern(p).compiled().pattern()})" for p in patterns)
+    wanted = basename(F.col("path")).rlike(f"^(?:{regex})$")
+    try:
+        _opened(path)
+    except (pa.ArrowInvalid, OSError):
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+        return found.select("path", "length", "modificationTime").where(wanted)
+    tasks, levels = spark.sparkContext.defaultParallelism, []
+    open_ = spark.createDataFrame([(path,)], "path string")
+    while not levels or not open_.isEmpty():
+        listed = open_.repartition(tasks).mapInArrow(_contents, "path string, length long, millis long, is_folder boolean")
+        level = cut_lineage(listed)
+        open_ = level.where("is_folder").select("path")
+        levels.append(level.where(~F.col("is_folder") & wanted))
+    return reduce(DataFrame.unionByName, levels).select(
+        "path", "length", F.timestamp_millis("millis").alias("modificationTime")
+    )
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:

@@ -174,3 +174,15 @@ def test_reference_frame_of_a_corpus(spark):
             assert len(roles) == 3
         else:
             assert roles == {}
+
+
+def test_folders_are_listed_in_tasks(spark, tmp_path):
+    for name in ("a_1.bmp", "x/b_1.bmp", "x/y z/b_2.bmp", "x/y z/c_2.png", "_gone/b_1.bmp", ".b_1.bmp", "k=1/_n=2/a_2.bmp"):
+        file = tmp_path / name
+        file.parent.mkdir(parents=True, exist_ok=True)
+        file.write_bytes(b"0" * len(name))
+    got = I.list_files(spark, str(tmp_path), ["{a,b}_?.bmp", "b_*", "*.tif"])
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    want = raw.where("path like '%.bmp'").select("path", "length", "modificationTime")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
