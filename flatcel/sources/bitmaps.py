@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as DS
 
 STRIP_BYTES = 1 << 20
+# Bytes that a task reads at most, if a strip is not larger, and the tasks of less than that each.
+TASK_BYTES, TASKS = 1 << 24, 64
 READ_SCHEMA = """path string, name string, frame_nr int, h int, w int, n_channels int, y0 int, strip_h int,
     data binary, is_corrupt boolean"""
 WRITE_COLUMNS = ("name", "h", "w", "n_channels", "data")
@@ -115,17 +117,18 @@ class BitmapReader(DS.DataSourceReader):
                     yield info.path, info.size
 
     def partitions(self):
-        # Strips of one file go to tasks of their own, small files share a task.
-        out, room = [Pieces([])], self.strip_bytes
-        for path, size in sorted(self._files()):
-            if not self._wanted(path.rsplit("/", 1)[-1]):
-                continue
+        # Strips of a large file go to many tasks, small files share one. A task has one strip or a
+        # share of all bytes, up to a bound: single strips as tasks would drown in their fixed cost.
+        files = sorted(f for f in self._files() if self._wanted(f[0].rsplit("/", 1)[-1]))
+        share = max(self.strip_bytes, min(TASK_BYTES, sum(size for _, size in files) // TASKS))
+        out, room = [Pieces([])], share
+        for path, size in files:
             for start in range(0, max(size - _HEAD, 1), self.strip_bytes):
                 stop = start + self.strip_bytes
                 used = min(size, stop) - start
                 if room < used and out[-1].pieces:
                     out.append(Pieces([]))
-                    room = self.strip_bytes
+                    room = share
                 out[-1].pieces.append((path, size, start, stop))
                 room -= used
         return out

@@ -186,3 +186,14 @@ def test_folders_are_listed_in_tasks(spark, tmp_path):
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
     want = raw.where("path like '%.bmp'").select("path", "length", "modificationTime")
     assert sorted(got.collect()) == sorted(want.collect()) and got.count() == 4
+
+
+def test_tasks_hold_many_strips(spark, tmp_path):
+    from flatcel.sources import bitmaps as B
+
+    (tmp_path / "f_001.bmp").write_bytes(B.encode(4096, 16, 3, bytes(4096 * 48)))
+    reader = B.BitmapReader(f"file://{tmp_path}", 48)
+    tasks = reader.partitions()
+    assert len(tasks) <= 2 * B.TASKS and sum(len(t.pieces) for t in tasks) >= 4096
+    rows = [r for t in tasks for r in reader.read(t)]
+    assert [r[6] for r in rows] == list(range(4096)) and {r[7] for r in rows} == {1}
