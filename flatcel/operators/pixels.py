@@ -128,8 +128,11 @@ def extreme(values: np.ndarray, present: np.ndarray, kernel: list[tuple[int, int
     known = np.where(present, values, fill)
     pick = np.maximum if largest else np.minimum
     out = np.full_like(values, fill)
+    h, w = values.shape
     for dy, dx in kernel:
-        out = pick(out, shifted(known, dy, dx, fill))
+        if abs(dy) < h and abs(dx) < w:
+            own = out[max(0, -dy) : h - max(0, dy), max(0, -dx) : w - max(0, dx)]
+            pick(own, known[max(0, dy) : h - max(0, -dy), max(0, dx) : w - max(0, -dx)], out=own)
     return out
 
 

@@ -8,6 +8,8 @@ the few parts that cross tile borders.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -71,8 +73,12 @@ def settle_view(
     kernel, edge = ball(radius), radius + 1
     inside = np.zeros_like(present)
     inside[edge:-edge, edge:-edge] = True
+    rows, cols = np.flatnonzero(present.any(axis=1)), np.flatnonzero(present.any(axis=0))
+    window = (slice(rows[0], rows[-1] + 1), slice(cols[0], cols[-1] + 1))  # the rest is empty
+    ys, xs = ys[window[0]], xs[window[1]]
+    present, inside, free = present[window], inside[window], free[window]
+    whole, fill = fill.copy(), fill[window].copy()
     hidden = present & ~inside
-    fill = fill.copy()
     open_ = free & (fill == 0)
 
     def core_of(mask: np.ndarray) -> np.ndarray:
@@ -86,8 +92,10 @@ def settle_view(
         first = mask_components(core)
         code = (ys[first // len(xs)].astype("int64") << CODE_SHIFT) + xs[first % len(xs)] + 1
         unknown = hidden & open_
-        cut = np.unique(first[core & grown(unknown, CROSS)])
-        waits = np.unique(np.concatenate([cut, first[core & grown(grown(unknown, kernel), kernel)]]))
+        cut = waits = np.zeros(0, first.dtype)
+        if unknown.any():
+            cut = np.unique(first[core & grown(unknown, CROSS)])
+            waits = np.unique(np.concatenate([cut, first[core & grown(grown(unknown, kernel), kernel)]]))
         seen = np.where(core, np.where(np.isin(first, cut), 0, code), NONE)
         near = extreme(extreme(seen, present, kernel, False), present, kernel, False)
         parts, at = np.unique(first[core], return_inverse=True)
@@ -101,7 +109,9 @@ def settle_view(
         fill = np.where(swept > 0, swept, fill)
         open_ &= swept == 0
         core &= core_of(open_)
-    return fill, core
+    undecided = np.zeros(whole.shape, bool)
+    whole[window], undecided[window] = fill, core
+    return whole, undecided
 
 
 STATE = "y int, x int, v int, fill long, seed long, undecided boolean, patch boolean"
@@ -192,43 +202,52 @@ def trapped_ball(
     order is grown back by the ball and taken out of the free area; the core shrinks by what can no
     longer hold a ball; and so on to the end. Fills never overlap, and each fill is a wall for the
     next. ``max_fills`` ends the walk of an image early; ``method`` then keeps only areas of at least
-    the largest, mean or median size.
+    the largest, mean or median size. Tiles that are narrow for the ball are put together.
+
+    An image leaves the rounds once all its parts are decided.
     """
+    halo = 4 * radius + 8
+    tile = TI.widened(tile, halo)
     state = mask.select(
         *PIXEL, F.col("v").cast("int").alias("v"), F.lit(0).cast("long").alias("fill"), F.lit(0).cast("long").alias("seed"),
         F.lit(True).alias("undecided"), F.lit(False).alias("patch"),
     )
-    halo, only, written = 4 * radius + 8, None, []
+    only, written, settled = None, [], []
     at = {n: F.floor(F.col(c) / tile) for c, n in (("y", "__ty"), ("x", "__tx"))}
     keys = ["image_id", *at]
     while True:
         out = _pass(state, only, radius, tile)
         if only is not None:
             out = out.unionByName(state.withColumns(at).join(only, keys, "left_anti").drop(*at).withColumn("patch", F.lit(False)))
-        settled = cut_lineage(out)
+        state = cut_lineage(out)
         drop_written(*written)
-        state, written = settled, [settled]
-        undecided = state.where("undecided")
+        undecided = cut_lineage(state.where("undecided").select(*PIXEL))
+        written = [state, undecided]
+        filled = state.where("fill > 0").select(*PIXEL, "fill")
+        if undecided.isEmpty():
+            settled.append(filled)
+            break
+        waits = undecided.select("image_id").distinct()
+        settled.append(cut_lineage(filled.join(waits, "image_id", "left_anti")))
+        state = state.join(waits, "image_id", "left_semi")
         waiting = undecided.withColumns(at).select(*keys).distinct()
         # What another tile filled changes a view; only tiles that still decide something look again.
         only = cut_lineage(_tiles_around(state.where("patch"), halo, tile).join(waiting, keys, "left_semi"))
         written.append(only)
         if not only.isEmpty():
             continue
-        if undecided.isEmpty():
-            break
         seeds = cut_lineage(_earliest_parts(undecided, radius, tile))
         only = cut_lineage(_tiles_around(seeds, halo, tile).join(waiting, keys, "left_semi"))
         written += [seeds, only]
         state = state.unionByName(seeds)
-    fills = state.where("fill > 0").groupBy(*PIXEL).agg((F.max("fill") - 1).alias("__f"))
+    fills = reduce(DataFrame.unionByName, settled).groupBy(*PIXEL).agg((F.max("fill") - 1).alias("__f"))
     named = cut_lineage(
         fills.select(
             *PIXEL, F.shiftright("__f", CODE_SHIFT).cast("int").alias("region_y"),
             F.col("__f").bitwiseAND((1 << CODE_SHIFT) - 1).cast("int").alias("region_x"),
         )
     )
-    drop_written(*written)
+    drop_written(*written, *settled)
     grown = number_regions(named, first=1).select(*PIXEL, "label")
     if max_fills is not None:
         grown = grown.where(F.col("label") <= max_fills)

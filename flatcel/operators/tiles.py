@@ -11,10 +11,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 TILE = 256
+# A tile is at least this many halos wide: a narrower one copies more pixels than it owns.
+HALOS = 4
+# Types of what a neighborhood operator returns.
+ARROW = {
+    "int": pa.int32(), "long": pa.int64(), "bigint": pa.int64(), "double": pa.float64(), "float": pa.float32(), "boolean": pa.bool_(),
+    "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(),
+}
 
 Arrays = dict[str, np.ndarray]
 
@@ -24,6 +31,11 @@ def _tile_span(coordinate: str, radius: int, tile: int) -> Column:
     return F.sequence(F.floor((c - radius) / tile), F.floor((c + radius) / tile))
 
 
+def widened(tile: int, halo: int) -> int:
+    """The least multiple of ``tile`` that is wide enough for the halo. No result depends on it."""
+    return tile * max(1, -(-HALOS * halo // tile))
+
+
 def stencil(
     pixels: DataFrame,
     inputs: tuple[str, ...],
@@ -37,8 +49,10 @@ def stencil(
     ``fn(present, arrays, ys, xs)`` gets the tile with its halo as dense arrays
     (``present`` marks pixels that exist, ``ys``/``xs`` are image coordinates)
     and returns arrays of the same shape, right at least in the core. The result
-    has (image_id, y, x) and ``outputs`` (name -> SQL type).
+    has (image_id, y, x) and ``outputs`` (name -> SQL type). Tiles that are narrow for
+    ``radius`` are put together.
     """
+    tile = widened(tile, radius)
     spread = (
         pixels.select("image_id", "y", "x", *inputs)
         .withColumn("__ty", F.explode(_tile_span("y", radius, tile)))
@@ -48,34 +62,31 @@ def stencil(
     schema = f"image_id {image_type}, y int, x int, " + ", ".join(f"{n} {t}" for n, t in outputs.items())
     size = tile + 2 * radius
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        image, ty, tx = key
-        y0, x0 = int(ty) * tile - radius, int(tx) * tile - radius
-        yy, xx = pdf["y"].to_numpy() - y0, pdf["x"].to_numpy() - x0
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        y0, x0 = key[1].as_py() * tile - radius, key[2].as_py() * tile - radius
+        yy, xx = table.column("y").to_numpy() - y0, table.column("x").to_numpy() - x0
         present = np.zeros((size, size), dtype=bool)
         present[yy, xx] = True
+        core = np.zeros_like(present)
+        core[radius : radius + tile, radius : radius + tile] = True
+        oy, ox = np.nonzero(core & present)
+        image = table.column("image_id").type
+        types = {"image_id": image, "y": pa.int32(), "x": pa.int32(), **{n: ARROW[t] for n, t in outputs.items()}}
+        if len(oy) == 0:
+            return pa.table({n: pa.array([], t) for n, t in types.items()})
         arrays: Arrays = {}
         for name in inputs:
-            values = pdf[name].to_numpy()
+            values = table.column(name).to_numpy()
             dense = np.zeros((size, size), dtype=values.dtype)
             dense[yy, xx] = values
             arrays[name] = dense
-        core = np.zeros_like(present)
-        core[radius : radius + tile, radius : radius + tile] = True
-        oy, ox = np.nonzero(core & present)
-        if len(oy) == 0:
-            return pd.DataFrame({"image_id": [], "y": [], "x": [], **{n: [] for n in outputs}})
         result = fn(present, arrays, np.arange(size) + y0, np.arange(size) + x0)
-        return pd.DataFrame(
-            {
-                "image_id": np.repeat(image, len(oy)),
-                "y": (oy + y0).astype("int32"),
-                "x": (ox + x0).astype("int32"),
-                **{n: result[n][oy, ox] for n in outputs},
-            }
+        columns = {"y": oy + y0, "x": ox + x0, **{n: result[n][oy, ox] for n in outputs}}
+        return pa.table(
+            {"image_id": pa.array([key[0].as_py()] * len(oy), image), **{n: pa.array(c).cast(types[n]) for n, c in columns.items()}}
         )
 
-    return spread.groupBy("image_id", "__ty", "__tx").applyInPandas(run, schema)
+    return spread.groupBy("image_id", "__ty", "__tx").applyInArrow(run, schema)
 
 
 def shifted(a: np.ndarray, dy: int, dx: int, fill) -> np.ndarray:

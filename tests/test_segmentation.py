@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flatcel.operators import outlines as OL
 from flatcel.operators import regions as R
@@ -301,3 +302,16 @@ def test_forest_follows_changes(spark, tmp_path):
     before = {t: files(forest.folder, t) for t in ("pixels", "nodes", "members", "links")}
     forest.update(tiled(spark, drawings, 8).where("false"))
     assert {t: files(forest.folder, t) for t in before} == before
+
+
+def test_narrow_tiles_are_put_together(spark):
+    """A halo wider than its tile copies every pixel many times; the walk stays the same over wide tiles."""
+    assert TI.widened(16, 1) == 16 and TI.widened(16, 25) == 112 and TI.widened(256, 16) == 256
+    d = np.where(np.arange(8 * 150).reshape(8, 150) % 150 % 12 == 11, 0, 255)
+    d[3:6, 11::12] = 255
+    state = images(spark, [d]).selectExpr("image_id", "y", "x", "v", "0L fill", "0L seed", "true undecided", "false patch")
+    halo, tile = 16, TI.widened(8, 16)
+    copies = state.select(F.explode(TI._tile_span("y", halo, tile)), "x").select(F.explode(TI._tile_span("x", halo, tile)))
+    assert copies.count() < 4 * d.size
+    (got,) = arrays(SG.trapped_ball(images(spark, [d]), 2, tile=8), [d])
+    assert np.array_equal(got, walk_balls(d, 2))
