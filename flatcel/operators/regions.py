@@ -8,8 +8,12 @@ fills a third of all pixels is a few thousand tile regions, not one group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from flatcel.functions.arrays import seeded_number, seeded_text
@@ -407,13 +411,73 @@ def diff_regions(old: DataFrame, new: DataFrame, min_distance: int = 64, value:
 
 # --- points --------------------------------------------------------------------
 
+OPEN, KEPT = 0, 1
+
+
 def dedupe_points(points: DataFrame, distance: int = 3, order: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Greedy thinning: in ``order``, a point stays unless one that stays lies within
     ``distance``. Ties in ``order`` go by the other columns, so the order is total; of
     points at one place the first stays, of equal rows one.
 
-    Every round keeps the points that no undecided earlier one blocks and drops what they
-    block, over a neighbor table banded by cells; the result is that of the walk."""
+    Whole-numbered points are walked tile by tile, with a halo. What depends on points beyond the
+    halo stays open; rounds over the images that hold such points decide it. Other coordinates go
+    by tables of neighbors. The result is that of the walk."""
+    if any(points.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long") for c in "yx"):
+        return _dedupe_by_pairs(points, distance, order)
+    total = list(dict.fromkeys((*order, "y", "x", *points.columns)))
+    halo = 4 * distance
+    tile = TI.widened(TI.TILE, halo)
+    width, columns = tile + 2 * halo, points.columns
+    reach = np.arange(-distance, distance + 1)
+    disc = reach[:, None] ** 2 + reach[None, :] ** 2 <= distance * distance
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        view = None
+        for batch in batches:
+            ids, tys, txs, ys, xs, states = (batch.column(c).to_pylist() for c in ("image_id", "__ty", "__tx", "y", "x", "__s"))
+            at, out = [], []
+            for i, (key, y, x, state) in enumerate(zip(zip(ids, tys, txs), ys, xs, states)):
+                if key != view:
+                    view = key
+                    blocked, unsure = (np.zeros((width + 2 * distance, width + 2 * distance), bool) for _ in range(2))
+                y, x = y - key[1] * tile + halo, x - key[2] * tile + halo
+                if state == OPEN:
+                    if blocked[y + distance, x + distance]:
+                        continue
+                    seen = distance <= y < width - distance and distance <= x < width - distance
+                    state = KEPT if seen and not unsure[y + distance, x + distance] else OPEN
+                mark = blocked if state == KEPT else unsure
+                mark[y : y + 2 * distance + 1, x : x + 2 * distance + 1] |= disc
+                if halo <= y < halo + tile and halo <= x < halo + tile:
+                    at.append(i)
+                    out.append(state)
+            own = batch.select(columns).take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(out, pa.int32())], names=[*columns, "__s"])
+
+    placed = F.col("y").isNotNull() & F.col("x").isNotNull()
+    kept = [points.where(~placed).distinct()]
+    state, before = points.where(placed).withColumn("__s", F.lit(OPEN)), None
+    while True:
+        views = state.withColumn("__ty", F.explode(TI._tile_span("y", halo, tile))).withColumn(
+            "__tx", F.explode(TI._tile_span("x", halo, tile))
+        )
+        view_key = ["image_id", "__ty", "__tx"]
+        dealt = views.repartition(*view_key).sortWithinPartitions(*view_key, *total)
+        state = cut_lineage(dealt.mapInArrow(walk, state.schema))
+        drop_written(before)
+        open_ = cut_lineage(state.where(F.col("__s") == OPEN).select("image_id").distinct())
+        done = state.where(F.col("__s") == KEPT)
+        if open_.isEmpty():
+            kept.append(done)
+            break
+        kept.append(cut_lineage(done.join(open_, "image_id", "left_anti")))
+        before, state = state, state.join(open_, "image_id", "left_semi")
+    return reduce(DataFrame.unionByName, [k.select(*points.columns) for k in kept])
+
+
+def _dedupe_by_pairs(points: DataFrame, distance: float, order: tuple[str, ...]) -> DataFrame:
+    """Every round keeps the points that no undecided earlier one blocks and drops what they
+    block, over a neighbor table banded by cells."""
     cell = max(distance, 1)
     total = dict.fromkeys((*order, "y", "x", *points.columns))
     rows = cut_lineage(points.distinct().withColumn("__o", F.struct(*total)))

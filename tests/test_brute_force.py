@@ -87,6 +87,17 @@ def test_dedupe_points_at_one_place(spark):
     assert sorted((r.y, r.kind) for r in got.collect()) == [(5, "endpoint"), (20, "corner")]
 
 
+def test_dedupe_points_over_tiles(spark):
+    """Chains of points that cross tile borders, two images, repeated rows."""
+    rng = random.Random(6)
+    points = sorted({(rng.randrange(300), rng.randrange(240, 280)) for _ in range(500)})
+    rows = [(i, y, x) for i in (1, 2) for y, x in points] * 2
+    df = spark.createDataFrame(rows, "image_id long, y int, x int")
+    out = R.dedupe_points(df, 3)
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted((i, *p) for i in (1, 2) for p in greedy(points, 3))
+
+
 def test_spaced_sample(spark):
     df = spark.createDataFrame([(i, y, x) for i in (1, 2) for y in range(0, 20, 1 + i) for x in range(20)], "image_id long, y int, x int")
     rows = R.spaced_sample(df, 6, 5, seed=9).collect()
