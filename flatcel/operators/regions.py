@@ -25,6 +25,8 @@ from flatcel.operators.skew import join_lookup, join_unique, with_group_facts
 from flatcel.session import cut_lineage, drop_written
 
 PIXEL = ["image_id", "y", "x"]
+# Rows of whole tiles that a task labels at once.
+LABEL_ROWS = 1 << 17
 
 
 def local_components(present: np.ndarray, values: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -268,21 +270,75 @@ def color_regions(labels: DataFrame, seed: int, black_zero: bool = True) -> Data
 # --- tiles ---------------------------------------------------------------------
 
 
-def label_tiles(tiles: DataFrame, value: str = "v") -> DataFrame:
-    """Regions inside each tile of an overlapping mosaic, numbered within the
-    tile by their first pixel."""
-    image_type = tiles.schema["image_id"].dataType.simpleString()
+def _label_many(tile: np.ndarray, ly: np.ndarray, lx: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Labels of the pixels of many tiles, numbered from 0 in each ``tile`` (numbers 0, 1, ...)."""
+    h, w = int(ly.max()) + 1, int(lx.max()) + 1
+    place, first, inverse = np.unique((tile * h + ly) * w + lx, return_index=True, return_inverse=True)
+    tile, ly, lx, values = tile[first], ly[first], lx[first], values[first]
+    links = []
+    for inside, step in ((lx < w - 1, 1), (ly < h - 1, w)):
+        a = np.flatnonzero(inside)
+        b = np.minimum(np.searchsorted(place, place[a] + step), len(place) - 1)
+        same = (place[b] == place[a] + step) & (values[a] == values[b]).astype(bool)
+        links.append(np.stack([a[same], b[same]]))
+    a, b = np.concatenate(links, axis=1)
+    root = np.arange(len(place))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while not np.array_equal(short := root[root], root):
+            root = short
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    own = root == np.arange(len(root))
+    number = np.cumsum(own) - 1
+    before = np.zeros(int(tile.max()) + 1, number.dtype)
+    np.add.at(before, tile[own], 1)
+    before = np.cumsum(before) - before
+    return (number[root] - before[tile])[inverse].astype("int32")
+
 
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        ly, lx = pdf["ly"].to_numpy(), pdf["lx"].to_numpy()
-        h, w = ly.max() + 1, lx.max() + 1
-        present, values = np.zeros((h, w), bool), np.zeros((h, w), pdf[value].dtype)
-        present[ly, lx], values[ly, lx] = True, pdf[value].to_numpy()
-        _, label = np.unique(local_components(present, values)[ly, lx], return_inverse=True)
-        return pdf.assign(label=label.astype("int32"))
+def label_tiles(tiles: DataFrame, value: str = "v", task_rows: int = LABEL_ROWS) -> DataFrame:
+    """Regions inside each tile of an overlapping mosaic, numbered within the
+    tile by their first pixel. A task labels many tiles at once, ``task_rows`` pixels
+    or a larger tile: a call per tile would cost more than its pixels."""
+    keys = ["image_id", "ty", "tx"]
+
+    def label(batch: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        number = np.cumsum(starts) - 1
+        places = (batch.column(c).to_numpy(zero_copy_only=False).astype("int64") for c in ("ly", "lx"))
+        labels = _label_many(number, *places, batch.column(value).to_pandas().to_numpy())
+        return batch.append_column("label", pa.array(labels))
+
+    def whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+        for batch in batches:
+            kept.append(batch)
+            rows += batch.num_rows
+            if rows < task_rows:
+                continue
+            joined = pa.concat_batches(kept)
+            starts = _starts(joined, keys)
+            last = int(np.flatnonzero(starts)[-1])
+            if last:
+                yield label(joined.slice(0, last), starts[:last])
+            # A tile of more rows than that waits for its end.
+            kept, rows = [joined.slice(last)], 0 if last == 0 else joined.num_rows - last
+        if kept and sum(b.num_rows for b in kept):
+            joined = pa.concat_batches(kept)
+            yield label(joined, _starts(joined, keys))
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema)
-    return tiles.groupBy("image_id", "ty", "tx").applyInPandas(local, f"{columns}, label int")
+    return tiles.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(whole_tiles, f"{columns}, label int")
+
+
+def _starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Whether a row differs from the one before it in any of the keys."""
+    out = np.zeros(batch.num_rows, bool)
+    out[0] = True
+    for key in keys:
+        code = batch.column(key).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out[1:] |= code[1:] != code[:-1]
+    return out
 
 
 def stitch(tiles: DataFrame, size: int = 512, overlap: float = 0.5) -> DataFrame:
