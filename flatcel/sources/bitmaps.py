@@ -33,7 +33,7 @@ READ_SCHEMA = """path string, name string, frame_nr int, h int, w int, n_channel
 WRITE_COLUMNS = ("name", "h", "w", "n_channels", "data")
 
 # Fixed values of the file format: magic, size of both headers, 24 and 32 bits a pixel.
-_MAGIC, _HEAD, _BITS = b"BM", 54, {24: 3, 32: 4}
+_MAGIC, HEAD, _BITS = b"BM", 54, {24: 3, 32: 4}
 _COMMITTED = "_committed-"
 
 
@@ -49,7 +49,7 @@ def encode(h: int, w: int, n: int, data: bytes) -> bytes:
     rows = np.zeros((h, _stride(w, n)), dtype=np.uint8)
     rows[:, : w * n] = np.frombuffer(data, dtype=np.uint8).reshape(h, w * n)
     size = rows.size
-    head = _MAGIC + struct.pack("<IHHI", _HEAD + size, 0, 0, _HEAD)
+    head = _MAGIC + struct.pack("<IHHI", HEAD + size, 0, 0, HEAD)
     return head + struct.pack("<IiiHHIIiiII", 40, w, -h, 1, 8 * n, 0, size, 0, 0, 0, 0) + rows.tobytes()
 
 
@@ -61,10 +61,16 @@ class Layout:
     n: int
     top_down: bool
 
+    def rows(self, raw: bytes) -> np.ndarray:
+        """The rows of pixels in the bytes of a whole file, top row first."""
+        stride = _stride(self.w, self.n)
+        rows = np.frombuffer(raw, np.uint8, self.h * stride, self.offset).reshape(self.h, stride)
+        return rows[:: 1 if self.top_down else -1, : self.w * self.n]
+
 
 def layout(head: bytes, size: int) -> Layout | None:
     """Where the pixels of a file of ``size`` bytes are; None if it is no readable bitmap."""
-    if len(head) < _HEAD or head[:2] != _MAGIC:
+    if len(head) < HEAD or head[:2] != _MAGIC:
         return None
     (offset,) = struct.unpack_from("<I", head, 10)
     w, h, _, bits, packed = struct.unpack_from("<iiHHI", head, 18)
@@ -74,6 +80,14 @@ def layout(head: bytes, size: int) -> Layout | None:
     return found
 
 
+def plain_layout(head: bytes, size: int) -> Layout | None:
+    """The layout of a bitmap of the most common kind: short header, 24 bits a pixel, not packed."""
+    found = layout(head, size)
+    if found is None or found.n != 3 or found.offset < HEAD or struct.unpack_from("<I", head, 14)[0] != HEAD - 14:
+        return None
+    return found
+
+
 def frame_number(name: str) -> int | None:
     """Digits, and an optional letter, right before the extension."""
     digits = re.search(r"([0-9]+)[a-zA-Z]?\.[^.]*$", name)
@@ -123,7 +137,7 @@ class BitmapReader(DS.DataSourceReader):
         share = max(self.strip_bytes, min(TASK_BYTES, sum(size for _, size in files) // TASKS))
         out, room = [Pieces([])], share
         for path, size in files:
-            for start in range(0, max(size - _HEAD, 1), self.strip_bytes):
+            for start in range(0, max(size - HEAD, 1), self.strip_bytes):
                 stop = start + self.strip_bytes
                 used = min(size, stop) - start
                 if room < used and out[-1].pieces:
@@ -145,7 +159,7 @@ class BitmapReader(DS.DataSourceReader):
     @staticmethod
     def _strip(f, size: int, start: int, stop: int):
         """The rows that begin in these bytes of the pixels."""
-        at = layout(f.read_at(min(_HEAD, size), 0), size)
+        at = layout(f.read_at(min(HEAD, size), 0), size)
         if at is None:
             return (None,) * 6 + (True,) if start == 0 else None
         stride = _stride(at.w, at.n)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 from collections.abc import Iterator
 from functools import reduce
 from urllib.parse import quote
@@ -13,9 +15,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from flatcel.functions.names import basename, frame_idx
 from flatcel.session import cut_lineage
+from flatcel.sources.bitmaps import HEAD, plain_layout
 
 # Rows of a batch of listed names.
 LISTED_ROWS = 10_000
+# Bytes of files that a task decodes, and of those that make a batch of images; tasks for each core at least.
+TASK_BYTES, OUT_BYTES, TASKS_PER_CORE = 1 << 26, 1 << 22, 4
+# Characters that stand for themselves in an address; others beyond ASCII do if they can be seen.
+ADDRESS = frozenset(string.ascii_letters + string.digits + "/;:@&=+$,_-!.~'()*")
+# Names that do not end in .bmp, as a glob.
+NO_BITMAP = "{?,??,???,*[!pP],*[!mM]?,*[!bB]??,*[!.]???}"
 
 
 def _hidden(name: str) -> bool:
@@ -31,6 +40,11 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}")
 
 
+def _qualified(spark: SparkSession, folder: str) -> str:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, length, millis, is_folder) of what lies right in the folders of the rows."""
     for batch in batches:
@@ -55,9 +69,7 @@ def list_files(spark: SparkSession, folder: str, patterns: list[str]) -> DataFra
     Tasks list the folders, level by level; the driver never holds the names. That takes a store
     that pyarrow can open (local and shared folders, HDFS, object stores). Others are listed by
     Spark's file source, which does keep all names in the driver."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    jvm, path = spark._jvm, _qualified(spark, folder)
     regex = "|".join(f"(?:{jvm.org.apache.hadoop.fs.GlobPattern(p).compiled().pattern()})" for p in patterns)
     wanted = basename(F.col("path")).rlike(f"^(?:{regex})$")
     try:
@@ -77,18 +89,98 @@ def list_files(spark: SparkSession, folder: str, patterns: list[str]) -> DataFra
     )
 
 
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, length, kind) of files: ``plain`` bitmaps, which ``_decoded`` reads as the image source
+    does, ``rare`` for what else is called a bitmap, ``other`` names."""
+    for batch in batches:
+        kinds = []
+        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not path.lower().endswith(".bmp"):
+                kinds.append("other")
+                continue
+            store, name = _opened(path)
+            with store.open_input_file(name) as f:
+                kinds.append("plain" if plain_layout(f.read_at(min(HEAD, size), 0), size) else "rare")
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kinds, pa.string())], names=["path", "length", "kind"])
+
+
+def _origin(path: str) -> str:
+    """A qualified path as the image source writes it, an address."""
+    scheme, rest = path.split(":", 1)
+    held = "".join(c if c in ADDRESS or (ord(c) > 127 and c.isprintable()) else quote(c, "") for c in rest)
+    return f"{scheme}:{held if held.startswith('//') else '//' + held}"
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(origin, height, width, nChannels, data) of plain bitmaps, some megabytes at a time."""
+    names = ["origin", "height", "width", "nChannels", "data"]
+    types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+
+    rows, held = [], 0
+    for batch in batches:
+        for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            store, name = _opened(path)
+            with store.open_input_file(name) as f:
+                raw = f.read()
+            at = plain_layout(raw[:HEAD], size)
+            rows.append((_origin(path), at.h, at.w, at.n, at.rows(raw).tobytes()))
+            held += size
+            if held >= OUT_BYTES:
+                yield out(rows)
+                rows, held = [], 0
+    if rows:
+        yield out(rows)
+
+
+def _image_source(spark: SparkSession, paths: str | list[str], names: str = "*") -> DataFrame:
+    """Files whose names match a glob, listed and decoded by Spark's image source."""
+    reader = spark.read.format("image").option("recursiveFileLookup", True).option("pathGlobFilter", names)
+    return reader.load(paths).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def _raw_images(spark: SparkSession, path: str) -> DataFrame:
+    path = _qualified(spark, path)
+    try:
+        _opened(path)
+    except (pa.ArrowInvalid, OSError):
+        return _image_source(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not (store.exists(folder) and store.getFileStatus(folder).isDirectory()):  # a file, a glob or nothing
+        return _image_source(spark, path)
+    tasks = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    listed = list_files(spark, path, ["*"]).select("path", "length").repartition(tasks)
+    found = cut_lineage(listed.mapInArrow(_kinds, "path string, length long, kind string"))
+    sums = {r.kind: r.length for r in found.groupBy("kind").agg(F.sum("length").alias("length")).collect()}
+    plain = found.where("kind = 'plain'").select("path", "length").repartition(max(tasks, sums.get("plain", 0) // TASK_BYTES))
+    parts = [plain.mapInArrow(_decoded, "origin string, height int, width int, nChannels int, data binary")]
+    if "rare" in sums:  # a path must not be taken for a glob
+        rare = [re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in found.where("kind = 'rare'").select("path").collect()]
+        parts.append(_image_source(spark, rare))
+    if "other" in sums:
+        parts.append(_image_source(spark, path, NO_BITMAP))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """Images with their frame number; files that cannot be decoded, or hold
-    only zeros, are marked corrupt."""
-    raw = spark.read.format("image").option("recursiveFileLookup", True).load(path)
-    data, height = F.col("image.data"), F.col("image.height")
+    only zeros, are marked corrupt.
+
+    Plain bitmaps (24 bits a pixel, not packed) are listed and read by tasks, as long as pyarrow
+    can open their store; the driver does not hold their names. All other files are left to Spark's
+    image source, which takes some milliseconds for any file."""
+    raw = _raw_images(spark, path)
+    data, height = F.col("data"), F.col("height")
     blank = F.length(F.ltrim(F.hex(data), F.lit("0"))) == 0
     return raw.select(
-        F.col("image.origin").alias("image_id"),
-        frame_idx(basename(F.col("image.origin"))).alias("frame_nr"),
+        F.col("origin").alias("image_id"),
+        frame_idx(basename(F.col("origin"))).alias("frame_nr"),
         height.alias("h"),
-        F.col("image.width").alias("w"),
-        F.col("image.nChannels").alias("n_channels"),
+        F.col("width").alias("w"),
+        F.col("nChannels").alias("n_channels"),
         data.alias("data"),
         ((height == -1) | F.coalesce(blank, F.lit(True))).alias("is_corrupt"),
     )

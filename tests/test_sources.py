@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import struct
 import zlib
 
@@ -197,3 +198,33 @@ def test_tasks_hold_many_strips(spark, tmp_path):
     assert len(tasks) <= 2 * B.TASKS and sum(len(t.pieces) for t in tasks) >= 4096
     rows = [r for t in tasks for r in reader.read(t)]
     assert [r[6] for r in rows] == list(range(4096)) and {r[7] for r in rows} == {1}
+
+
+def test_bitmaps_in_tasks(spark, tmp_path):
+    """Bitmaps of every kind beside other files: rows as Spark's image source gives them, plain ones without it."""
+    rng = random.Random(5)
+    (tmp_path / "sub [1]").mkdir()
+    for k, (h, w, n) in enumerate([(1, 1, 3), (7, 5, 3), (3, 4, 4), (6, 2, 3)]):
+        data = B.encode(h, w, n, rng.randbytes(h * w * n))
+        (tmp_path / "sub [1]" / f"a {k}%#é {{x}}_{k:03d}.bmp").write_bytes(data)
+        (tmp_path / f"up_{k:03d}.BMP").write_bytes(data[:22] + struct.pack("<i", h) + data[26:])  # bottom row first
+    (tmp_path / "black_011.bmp").write_bytes(B.encode(2, 2, 3, bytes(12)))
+    (tmp_path / "junk_012.bmp").write_bytes(b"nothing")
+    (tmp_path / "none_013.bmp").write_bytes(b"")
+    (tmp_path / "_hidden_014.bmp").write_bytes(B.encode(1, 1, 3, b"abc"))
+    png(tmp_path / "bmp", [[9, 8, 7]], 2)
+    png(tmp_path / "p.bmp.png", [[9, 8, 7]], 2)
+    png(tmp_path / "named_015.bmp", [[9, 8, 7, 6, 5, 4]], 2)
+    source = spark.read.format("image").option("recursiveFileLookup", True).load(str(tmp_path)).select("image.*")
+    want = sorted((r.origin, r.height, r.width, r.nChannels, bytes(r.data)) for r in source.collect())
+    found = I.read_images(spark, str(tmp_path))
+    got = sorted((r.image_id, r.h, r.w, r.n_channels, bytes(r.data)) for r in found.collect())
+    assert got == want and len(got) == 13  # without the empty file
+    assert {r.image_id.rsplit("/", 1)[-1] for r in found.where("is_corrupt").collect()} == {"black_011.bmp", "junk_012.bmp"}
+    one = I.read_images(spark, str(tmp_path / "up_001.BMP"))
+    assert [bytes(r.data) for r in one.collect()] == [r[4] for r in want if r[0].endswith("up_001.BMP")]
+    for k in range(3):
+        (tmp_path / "plain").mkdir(exist_ok=True)
+        (tmp_path / "plain" / f"f_{k}.bmp").write_bytes(B.encode(2, 2, 3, rng.randbytes(12)))
+    plan = I.read_images(spark, str(tmp_path / "plain"))._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "image" not in plan.lower().split("mapinarrow")[-1]
