@@ -172,3 +172,13 @@ def changed_tiles(old: DataFrame, new: DataFrame, value: str = "v") -> DataFrame
     return (
         a.join(b, keys, "full").where(~F.col("__a").eqNullSafe(F.col("__b"))).select("image_id", "ty", "tx").distinct()
     )
+
+
+def tiles_of_changes(old: DataFrame, new: DataFrame, size: int = 512, overlap: float = 0.5, value: str = "v") -> DataFrame:
+    """What ``changed_tiles`` finds in the mosaics of two versions, from pixels with ``h`` and ``w``:
+    pixels are compared once, not once for each tile that holds them."""
+    keys = ["image_id", "y", "x", "h", "w"]
+    a = old.select(*keys, F.col(value).alias("__a"))
+    b = new.select(*keys, F.col(value).alias("__b"))
+    changed = a.join(b, keys, "full").where(~F.col("__a").eqNullSafe(F.col("__b")))
+    return tile(changed, size, overlap).select("image_id", "ty", "tx").distinct()

@@ -270,10 +270,11 @@ def changed_tiles(v):
 @query("resegment", _cc("SELECT * FROM redrawn", NUMBERED))
 def resegment(v):
     """Segment the first version, bring the changed tiles, read the labels of the second."""
-    old, new = tiled(v), tiled(v, redrawn(v))
+    old, new = sized_mask(v), sized_mask(v, redrawn(v))
     forest = TileForest(v.spark, new_folder(v.spark), 16, 0.5)
-    forest.create(old)
-    forest.update(new.join(TI.changed_tiles(old, new), ["image_id", "ty", "tx"], "left_semi"))
+    forest.create(tiled(v))
+    changed = TI.tiles_of_changes(old, new, 16, 0.5)
+    forest.update(tiled(v, redrawn(v)).join(changed, ["image_id", "ty", "tx"], "left_semi"))
     return forest.labels()
 
 

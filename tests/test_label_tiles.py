@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from flatcel.operators import regions as R
+from flatcel.operators import tiles as TI
 
 
 def tile_rows():
@@ -72,3 +73,16 @@ def test_spirals():
     got = R._label_many(tile, at // 5, at % 5, np.concatenate([spiral.ravel(), checks.ravel()]))
     assert got[:25].reshape(5, 5).tolist() == [[0] * 5, [1] * 4 + [0], [0] * 3 + [1, 0], [0] + [1] * 3 + [0], [0] * 5]
     assert got[25:].tolist() == list(range(25))
+
+
+def test_tiles_of_changes(spark):
+    """Changed pixels lead to the tiles that the comparison of whole mosaics finds."""
+    rng = random.Random(9)
+    old = [(i, y, x, rng.choice([0, 1, None]), 30, 41) for i in ("a", "b", "c") for y in range(30) for x in range(41) if rng.random() < 0.95]
+    new = [(*r[:3], 1 - r[3], 30, 41) if r[0] == "a" and r[3] is not None and rng.random() < 0.01 else r for r in old]
+    new = [r for k, r in enumerate(new) if k != 1500] + [("b", 29, 90, 1, 30, 91)]
+    schema = "image_id string, y int, x int, v int, h int, w int"
+    old, new = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    got = sorted(map(tuple, TI.tiles_of_changes(old, new, 8, 0.5).collect()))
+    mosaics = (TI.tile(df, 8, 0.5).drop("h", "w") for df in (old, new))
+    assert got == sorted(map(tuple, TI.changed_tiles(*mosaics).collect())) and len(got) > 20
