@@ -25,13 +25,23 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from flatcel.llm.components import linked_components
-from flatcel.session import cut_lineage
+from flatcel.session import cut_lineage, drop_written
 
 SHINGLE_WORDS = 3
 BLOCKS = 6
 SEED = 42
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of ``hashes`` (64 bits each) have, as an unsigned number; 0 without hashes."""
+    counts = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 1 << 15):  # bounds the bit matrix of very long texts
+        block = hashes[start : start + (1 << 15)]
+        bits = np.unpackbits(block.astype("<u8").view(np.uint8), bitorder="little")
+        counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.uint32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """SimHash of ``text`` as an unsigned 64-bit number; 0 without words."""
     parts = b"" if text is None else text.encode("utf-8", "surrogatepass")
@@ -43,13 +53,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     else:
         shingles = map(b" ".join, zip(*(parts[i:] for i in range(words))))
     n = max(1, len(parts) - words + 1)
-    counts = np.zeros(64, np.int64)
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n)
-    for start in range(0, n, 1 << 15):  # bounds the bit matrix of very long texts
-        block = hashes[start : start + (1 << 15)]
-        bits = np.unpackbits(block.astype("<u8").view(np.uint8), bitorder="little")
-        counts += bits.reshape(-1, 64).sum(axis=0, dtype=np.uint32)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+    return majority(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, n))
 
 
 def fingerprints(
@@ -111,6 +115,30 @@ def near_links(distinct: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     return centres.join(least, "centre").where("a <> fp").select("a", F.col("fp").alias("b")).distinct()
 
 
+def covered_links(distinct: DataFrame, radius: int, blocks: int, apart: int) -> DataFrame:
+    """Links (a, b), a < b, between fingerprints of ``distinct`` (fp, unique) that share a bucket of the
+    covering tables and differ in at most ``apart`` bits, written. Any two that differ in at most
+    ``radius`` bits share a bucket; others may. The members of a bucket are linked to its least one
+    only, so a table gives fewer links than there are fingerprints."""
+    masked = covering_tables(radius, blocks)
+    kept = [F.lit(_signed(((1 << 64) - 1) ^ sum(1 << b for b in bits))) for bits in masked]
+    buckets = distinct.select(
+        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(mask) for mask in kept])).alias("t", "key")
+    )
+    shared = (
+        buckets.groupBy("t", "key")
+        .agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1")
+    )
+    shared = cut_lineage(shared)
+    larger = shared.where("n > 2").select("t", "key", "a", F.col("b").alias("last"))
+    between = buckets.join(larger, ["t", "key"]).where("fp <> a and fp <> last").select("a", F.col("fp").alias("b"))
+    links = shared.select("a", "b").unionByName(between)
+    out = cut_lineage(links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= apart).distinct())
+    drop_written(shared)
+    return out
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
